@@ -180,3 +180,88 @@ def approach(rows, p):
             level, at, count = now_level, now, count + 1
             out.append((frame, now_level, count))
     return out
+
+
+def motion(rows, window=9, minimum=0.3, gap=2, n=2):
+    """rows: (frame, box, confidence) -> (frame, motion, confidence, previous)."""
+    import statistics as st
+
+    history, last, weak = [], None, 0
+    candidate, confirmed, out = [], None, []
+    for frame, box, confidence in rows:
+        if last is not None and not 0 <= frame - last - 1 <= gap:
+            history, candidate, confirmed, weak = [], [], None, 0
+        last = frame
+        w, h = box[2] - box[0], box[3] - box[1]
+        if w <= 0 or h <= 0:
+            history, candidate, confirmed, weak = [], [], None, 0
+            out.append((frame, "UNKNOWN", 0.0, None))
+            continue
+        if confidence < minimum:
+            weak += 1
+            if weak > gap:
+                history, candidate, confirmed = [], [], None
+            out.append((frame, "UNKNOWN", 0.0, None))
+            continue
+        weak = 0
+        item = (w * h, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, w, h, confidence)
+        history = (history + [item])[-window:]
+        state, evidence = "UNKNOWN", 0.0
+        if len(history) == window:
+            k = max(1, window // 3)
+            med = lambda part, i: st.median(x[i] for x in part)
+            first, end = history[:k], history[-k:]
+            mw, mh = (sum(x[i] for x in history) / window for i in (3, 4))
+            change = (med(end, 0) - med(first, 0)) / med(first, 0)
+            dx, dy = (med(end, 1) - med(first, 1)) / mw, (med(end, 2) - med(first, 2)) / mh
+            steps = [(b[0] - a[0]) / a[0] for a, b in zip(history, history[1:])]
+            up = sum(s >= -0.02 for s in steps) / len(steps)
+            down = sum(s <= 0.02 for s in steps) / len(steps)
+            strength = 0.0
+            if up >= 0.65 and change >= 0.1 and math.hypot(dx, dy) <= 1.25 and dy >= -0.12:
+                state, strength = "APPROACHING", min(1.0, change / 0.2)
+            elif down >= 0.65 and change <= -0.1 and math.hypot(dx, dy) <= 1.25 and dy <= 0.12:
+                state, strength = "RECEDING", min(1.0, -change / 0.2)
+            else:
+                areas = [x[0] for x in history]
+                spread = (max(areas) - min(areas)) / (sum(areas) / window)
+                far = max(
+                    math.hypot((x[1] - history[0][1]) / mw, (x[2] - history[0][2]) / mh)
+                    for x in history
+                )
+                if spread <= 0.03 and far <= 0.08:
+                    calm = min(1 - spread / 0.03, 1 - far / 0.08)
+                    state, strength = "STOPPED", 0.5 + 0.5 * max(0.0, calm)
+            if state != "UNKNOWN":
+                evidence = sum(x[5] for x in history) / window * (0.5 + 0.5 * strength)
+        if state == "UNKNOWN":
+            candidate = []
+            out.append((frame, "UNKNOWN", 0.0, None))
+        elif state == confirmed:
+            candidate = []
+            out.append((frame, state, evidence, None))
+        else:
+            if candidate and candidate[0][0] != state:
+                candidate = []
+            candidate.append((state, evidence))
+            if len(candidate) < n:
+                out.append((frame, "UNKNOWN", 0.0, None))
+            else:
+                mean = sum(e for _, e in candidate) / len(candidate)
+                out.append((frame, state, mean, confirmed))
+                confirmed, candidate = state, []
+    return out
+
+
+def routes(reads, n):
+    """reads: (order, route, confidence) -> (order, route, mean) where confirmed."""
+    current, streak, out = None, [], []
+    for order, route, confidence in reads:
+        if route is None:
+            current, streak = None, []
+            continue
+        streak = streak + [confidence] if route == current else [confidence]
+        current = route
+        if len(streak) >= n:
+            out.append((order, route, sum(streak) / len(streak)))
+    return out
