@@ -269,3 +269,34 @@ def seconds_ago(now_ms: Column, then_ms: Column) -> Column:
 
 def seconds_since(now_ms: Column, then_ms: Column) -> Column:
     return F.greatest(F.lit(0.0), F.bround((now_ms - then_ms) / F.lit(1000.0), 1))
+
+
+def frozen(attributes: Column) -> Column:
+    """A map as text that is equal for equal content whatever the entry order."""
+    return F.to_json(F.array_sort(F.map_entries(attributes)))
+
+
+def parse_interval(text: Column) -> Column:
+    """Closed frame interval from an object (two spellings) or a pair; null if unusable."""
+    named = F.from_json(text, "start_frame bigint, end_frame bigint, start bigint, `end` bigint")
+    pair = F.from_json(text, "array<bigint>")
+    start = F.coalesce(named["start_frame"], named["start"], F.get(pair, F.lit(0)))
+    end = F.coalesce(named["end_frame"], named["end"], F.get(pair, F.lit(1)))
+    return F.when(
+        (start >= 0) & (end >= start), F.struct(start.alias("start_frame"), end.alias("end_frame"))
+    )
+
+
+def messages_of(raw: Column) -> Column:
+    """Messages given as a JSON list or as one plain string, blanks dropped."""
+    listed = F.when(strip(raw).startswith("["), F.from_json(raw, "array<string>"))
+    return F.filter(F.coalesce(listed, F.array(raw)), lambda m: strip(m) != "")
+
+
+def reasons(*coded: tuple[str, Column]) -> Column:
+    """Reason codes that apply, in the given order, each once."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(c, name) for name, c in coded])))
+
+
+def headline(codes: Column) -> Column:
+    return F.get(codes, F.lit(0))
