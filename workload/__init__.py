@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from workload import joins, runs, scalars, summaries  # noqa: F401
+from workload import analysis, joins, runs, scalars, summaries  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
