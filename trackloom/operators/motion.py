@@ -17,6 +17,7 @@ from trackloom.operators.keyed import (
     carry_sum,
     chunk_window,
     drop_ghosts,
+    streaks,
     with_halo,
 )
 from trackloom.operators.runs import OBJECT
@@ -407,50 +408,36 @@ def route_confirmation(
     its confidence; an unreadable or failed read (null) and a ``reset`` row
     break the streak. Deferred frames are not rows here.
     """
-    own = F.coalesce("confidence", F.lit(0.0))
-    numbered = carry_sum(executed, keys, [order], {"_read": F.lit(1), "_total": own}, span=span)
-    w = chunk_window(keys, "_read")
-    broken = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
-    head = (
-        F.col("route").isNull()
-        | ~F.coalesce(F.lag("route").over(w) == F.col("route"), F.lit(False))
-        | broken
-    )
-    marked = drop_ghosts(
-        with_halo(numbered, "_read", span=span, before=1).withColumn("_head", head)
-    )
-    opened = carry_last(
-        marked,
-        keys,
-        ["_read"],
-        {
-            "_start": F.when(F.col("_head"), F.col("_read")),
-            "_base": F.when(F.col("_head"), F.col("_total") - own),
-        },
-        span=span,
-    )
-    streak = F.when(F.col("route").isNotNull(), F.col("_read") - F.col("_start") + 1).otherwise(0)
-    confirmed = streak >= minimum_reads
-    done = opened.withColumns(
+    rows = executed.withColumns(
         {
-            "confirmed_reads": streak,
-            "route_confirmed": confirmed,
-            "confirmed_confidence": F.when(confirmed, (F.col("_total") - F.col("_base")) / streak),
+            "_own": F.coalesce("confidence", F.lit(0.0)),
+            # a reset row starts a run of its own
+            "_reset": F.lit(False) if reset is None else F.coalesce(reset, F.lit(False)),
         }
     )
-    linked = carry_last(
-        done,
+    if reset is not None:
+        rows = carry_sum(rows, keys, [order], {"_run": F.col("_reset").cast("int")}, span=span)
+    found = streaks(
+        rows,
         keys,
-        ["_read"],
-        {"_before": F.when(F.col("route_confirmed"), F.col("route"))},
+        [order],
+        {"_r": "route"},
+        minimum=minimum_reads,
+        run=None if reset is None else "_run",
+        amount="_own",
         span=span,
-        include_current=False,
     )
-    return linked.withColumn(
-        "route_changed",
-        F.col("route_confirmed")
-        & F.coalesce(F.col("_before") != F.col("route"), F.lit(False)),
-    ).drop("_read", "_head", "_start", "_total", "_base", "_before")
+    streak = F.col("_r_streak")
+    confirmed = streak >= minimum_reads
+    return found.select(
+        *executed.columns,
+        streak.alias("confirmed_reads"),
+        confirmed.alias("route_confirmed"),
+        F.when(confirmed, F.col("_r_sum") / streak).alias("confirmed_confidence"),
+        (confirmed & F.coalesce(F.col("_r_before") != F.col("route"), F.lit(False))).alias(
+            "route_changed"
+        ),
+    )
 
 
 def bus_analysis(

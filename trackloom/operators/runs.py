@@ -20,6 +20,7 @@ from trackloom.operators.keyed import (
     chunk_window,
     drop_ghosts,
     previous_row,
+    streaks,
     with_halo,
 )
 
@@ -110,26 +111,15 @@ def debounce(
     A new state needs n equal known frames in a row. Until then the old state
     is reported as uncertain; an unknown observation reports ``UNKNOWN``.
     """
-    ranked = runs(
-        df.withColumn("_seen", norm_state(F.col(state))),
-        "_seen",
-        keys=keys,
-        frame=frame,
-        span=span,
+    seen = df.withColumn("_seen", known_state(F.col(state)))
+    carried = streaks(
+        seen, keys, [frame], {"_s": "_seen"}, minimum=minimum_frames, consecutive=True, span=span
     )
-    known = F.col("_seen") != "UNKNOWN"
-    confirms = known & (F.col("run_rank") == minimum_frames)
-    carried = carry_last(
-        ranked,
-        keys,
-        [frame],
-        {"_before": F.when(confirms, F.col("_seen"))},
-        span=span,
-        include_current=False,
-    )
-    before = F.col("_before")
+    known = F.col("_seen").isNotNull()
+    streak, before = F.col("_s_streak"), F.col("_s_before")
+    confirms = known & (streak == minimum_frames)
     settled = known & (
-        (F.col("run_rank") >= minimum_frames) | F.coalesce(before == F.col("_seen"), F.lit(False))
+        (streak >= minimum_frames) | F.coalesce(before == F.col("_seen"), F.lit(False))
     )
     changed = confirms & before.isNotNull() & (before != F.col("_seen"))
     return carried.select(
@@ -140,9 +130,9 @@ def debounce(
         .alias("confirmed_state"),
         F.when(changed, before).alias("previous_state"),
         changed.alias("changed"),
-        F.when(settled, F.col("run_rank")).otherwise(0).alias("confirmed_frames"),
+        F.when(settled, streak).otherwise(0).alias("confirmed_frames"),
         F.when(known & ~settled, F.col("_seen")).alias("candidate_state"),
-        F.when(known & ~settled, F.col("run_rank")).otherwise(0).alias("candidate_frames"),
+        F.when(known & ~settled, streak).otherwise(0).alias("candidate_frames"),
         (~settled).alias("is_uncertain"),
     )
 
@@ -182,6 +172,7 @@ def presence(
     )
     ends = lives.groupBy(*keys, "lifetime_start").agg(
         F.min(F.when(F.col("_streak"), F.col(frame))).alias("appeared_at"),
+        F.max(frame).alias("last_seen"),
         (F.max(frame) + maximum_missed).alias("gone_at"),
     )
     clock = (df if frames is None else frames).groupBy(source).agg(F.max(frame).alias("_last"))
@@ -192,6 +183,7 @@ def presence(
         .select(
             *keys,
             "lifetime_start",
+            "last_seen",
             F.inline(
                 F.array_compact(
                     F.array(

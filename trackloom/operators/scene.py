@@ -34,7 +34,7 @@ from trackloom.functions.geometry import (
 )
 from trackloom.functions.strings import strip
 from trackloom.operators.keyed import DEFAULT_SPAN, carry_last, previous_row
-from trackloom.operators.runs import OBJECT, changed_values, enter_state, presence
+from trackloom.operators.runs import OBJECT, changed_values, presence
 
 RESULT_DEFAULTS = {
     "detection_confidence": "double",
@@ -199,9 +199,10 @@ def presence_events(
     lives = seen.groupBy(*keys, "lifetime_start").agg(
         F.max(F.when(F.col("event_type") == "appeared", F.col("frame_index"))).alias("_appeared"),
         F.max(F.when(F.col("event_type") == "disappeared", F.col("frame_index"))).alias("_gone"),
+        F.max("last_seen").alias("_last"),
     )
     asked = lives.filter("_appeared is not null").select(
-        *keys, F.col("_appeared").alias("frame_index"), F.lit(0).alias("_kind"), "_gone"
+        *keys, F.col("_appeared").alias("frame_index"), F.lit(0).alias("_kind"), "_gone", "_last"
     )
     sure = results.filter(
         presence_confidence(F.col("detection_confidence")) >= minimum_confidence
@@ -225,6 +226,7 @@ def presence_events(
                         F.when(F.col("_sure_at") == F.col("frame_index"), 1)
                         .otherwise(2)
                         .alias("phase"),
+                        F.col("_sure_at").alias("result_frame"),
                     ),
                     F.when(
                         F.col("_gone").isNotNull(),
@@ -232,6 +234,7 @@ def presence_events(
                             F.lit("OBJECT_DISAPPEARED").alias("event_type"),
                             F.col("_gone").alias("frame_index"),
                             F.lit(1).alias("phase"),
+                            F.col("_last").alias("result_frame"),
                         ),
                     ),
                 )
@@ -269,31 +272,6 @@ def domain_events(
     seen = F.col("detection_confidence")
     own = F.col("confidence")
     certain = ~F.col("is_uncertain")
-    order = ["frame_index"]
-
-    def picked(df: DataFrame, kind: str, phase: int, confidence: Column, state=None) -> DataFrame:
-        return df.select(
-            *keys,
-            "frame_index",
-            F.lit(phase).alias("phase"),
-            F.lit(kind).alias("event_type"),
-            F.lit(None).cast("string").alias("previous_state"),
-            (F.lit(None) if state is None else state).cast("string").alias("current_state"),
-            confidence.alias("_event_conf"),
-        )
-
-    def changed(value: Column, confidence: Column, condition: Column, kind: str, phase: int):
-        rows = results.filter(condition).withColumn("_value", value)
-        found = changed_values(
-            rows,
-            "_value",
-            valid=confidence >= minimum_confidence,
-            keys=keys,
-            order=order,
-            span=span,
-        )
-        return picked(found, kind, phase, confidence)
-
     screen = F.coalesce(
         F.when(strip(F.col("screen_fingerprint")) != "", strip(F.col("screen_fingerprint"))),
         F.to_json(F.struct("_known", "visible_options", "text")),
@@ -302,14 +280,6 @@ def domain_events(
         "screen_is_confirmed", certain
     )
     motion = combined_evidence(seen, F.coalesce("motion_confidence", "confidence"))
-    entered = enter_state(
-        results.filter(certain),
-        state="_known",
-        valid=motion >= minimum_confidence,
-        keys=keys,
-        order=order,
-        span=span,
-    ).filter(F.col("object_type").isin(*fixed.VEHICLE_TYPES))
     is_bus = F.col("object_type") == "bus"
     words = strip(F.when(is_bus, F.col("route_number")).otherwise(F.col("text")))
     readable = F.when(~F.upper(words).isin(*fixed.UNKNOWN_STATES), words)
@@ -317,19 +287,49 @@ def domain_events(
         seen, F.when(is_bus, F.coalesce("route_confidence", "confidence")).otherwise(own)
     )
     told = F.when(strip(F.col("description")) != "", strip(F.col("description")))
-    return (
-        changed(
-            screen,
-            combined_evidence(seen, F.coalesce("screen_confidence", "confidence")),
-            shown,
-            "SCREEN_CHANGED",
-            3,
-        )
-        .unionByName(picked(entered, "OBJECT_APPROACHING", 4, motion))
-        .unionByName(changed(readable, read_conf, certain, "TEXT_CONFIRMED", 5))
-        .unionByName(
-            changed(told, combined_evidence(seen, own), certain, "DESCRIPTION_CONFIRMED", 6)
+
+    def channel(kind: str, phase: int, value: Column, confidence: Column, condition: Column):
+        usable = condition & value.isNotNull() & (confidence >= minimum_confidence)
+        return F.when(
+            usable,
+            F.struct(
+                F.lit(kind).alias("event_type"),
+                F.lit(phase).alias("phase"),
+                value.alias("_value"),
+                confidence.alias("_event_conf"),
+            ),
         )
+
+    # one long table of values per object and kind: a change of value is an event
+    values = results.select(
+        *keys,
+        "frame_index",
+        "object_type",
+        F.inline(
+            F.array_compact(
+                F.array(
+                    channel(
+                        "SCREEN_CHANGED",
+                        3,
+                        screen,
+                        combined_evidence(seen, F.coalesce("screen_confidence", "confidence")),
+                        shown,
+                    ),
+                    channel("OBJECT_APPROACHING", 4, F.col("_known"), motion, certain),
+                    channel("TEXT_CONFIRMED", 5, readable, read_conf, certain),
+                    channel(
+                        "DESCRIPTION_CONFIRMED", 6, told, combined_evidence(seen, own), certain
+                    ),
+                )
+            )
+        ),
+    )
+    changed = changed_values(
+        values, "_value", keys=[*keys, "event_type"], order=["frame_index"], span=span
+    )
+    entering = (F.col("_value") == "APPROACHING") & F.col("object_type").isin(*fixed.VEHICLE_TYPES)
+    return changed.filter((F.col("event_type") != "OBJECT_APPROACHING") | entering).select(
+        *keys, "frame_index", "phase", "event_type", "_event_conf"
     )
 
 
@@ -357,18 +357,14 @@ def scene_events(
     events = (
         changed.unionByName(domain, allowMissingColumns=True)
         .unionByName(appeared, allowMissingColumns=True)
-        .withColumn("_kind", F.lit(1))
+        .withColumn("result_frame", F.coalesce("result_frame", "frame_index"))
     )
+    # an object that left is described by the last result it had
     payload = ["object_type", "detection_confidence", "_state_conf", "is_uncertain", *ATTRIBUTES]
-    facts = full.select(*keys, "frame_index", F.lit(0).alias("_kind"), F.struct(*payload).alias("_r"))
-    # an object that left is described by its last result
-    joined = carry_last(
-        events.unionByName(facts, allowMissingColumns=True),
-        keys,
-        ["frame_index", "_kind"],
-        {"_latest": F.col("_r")},
-        span=span,
-    ).filter("_kind = 1")
+    facts = full.select(
+        *keys, F.col("frame_index").alias("result_frame"), F.struct(*payload).alias("_latest")
+    )
+    joined = events.join(facts, [*keys, "result_frame"], "left")
     kind = F.col("event_type")
     confidence = (
         F.when(kind == "OBJECT_APPEARED", presence_confidence(F.col("_latest.detection_confidence")))

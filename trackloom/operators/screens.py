@@ -15,9 +15,9 @@ from trackloom.operators.fold import fold
 from trackloom.operators.keyed import (
     DEFAULT_SPAN,
     carry_last,
-    carry_sum,
     chunk_window,
     drop_ghosts,
+    streaks,
     with_halo,
 )
 from trackloom.operators.runs import OBJECT, cadence_due
@@ -111,41 +111,26 @@ def confirm_reads(
     Adds ``confirmed`` (null while pending), ``streak``, ``changed``,
     ``previous`` and ``is_first``.
     """
-    numbered = carry_sum(reads, keys, [order], {"_read": F.lit(1)}, span=span)
-    w = chunk_window(keys, "_read")
-    same = F.lag(value).over(w) == F.col(value)
-    if run is not None:
-        same = same & F.lag(run).over(w).eqNullSafe(F.col(run))
-    marked = drop_ghosts(
-        with_halo(numbered, "_read", span=span, before=1).withColumn(
-            "_head", ~F.coalesce(same, F.lit(False))
-        )
-    )
-    ranked = carry_last(
-        marked, keys, ["_read"], {"_start": F.when(F.col("_head"), F.col("_read"))}, span=span
+    found = streaks(
+        reads, keys, [order], {"_v": value}, minimum=minimum_reads, run=run, span=span
     )
-    streak = F.when(F.col(value).isNotNull(), F.col("_read") - F.col("_start") + 1).otherwise(0)
-    ranked = ranked.withColumn("streak", streak)
-    confirms = F.col(value).isNotNull() & (F.col("streak") == minimum_reads)
-    known = carry_last(
-        ranked,
-        keys,
-        ["_read"],
-        {"_before": F.when(confirms, F.col(value))},
-        span=span,
-        include_current=False,
-    )
-    before = F.col("_before")
-    settled = (F.col("streak") >= minimum_reads) | F.coalesce(before == F.col(value), F.lit(False))
+    return found.select(*reads.columns, *_judged("_v", value, minimum_reads).values())
+
+
+def _judged(name: str, value: str, minimum: int, prefix: str = "") -> dict[str, Column]:
+    """Confirmation columns of one value after :func:`streaks`."""
+    streak, before = F.col(f"{name}_streak"), F.col(f"{name}_before")
+    confirms = F.col(value).isNotNull() & (streak == minimum)
+    settled = (streak >= minimum) | F.coalesce(before == F.col(value), F.lit(False))
     changed = confirms & F.coalesce(before != F.col(value), F.lit(False))
-    return known.withColumns(
-        {
-            "confirmed": F.when(settled, F.col(value)),
-            "changed": changed,
-            "previous": F.when(changed, before),
-            "is_first": confirms & before.isNull(),
-        }
-    ).drop("_read", "_head", "_start", "_before")
+    columns = {
+        "confirmed": F.when(settled, F.col(value)),
+        "streak": streak,
+        "changed": changed,
+        "previous": F.when(changed, before),
+        "is_first": confirms & before.isNull(),
+    }
+    return {k: c.alias(prefix + k) for k, c in columns.items()}
 
 
 def kiosk_analysis(
@@ -173,44 +158,34 @@ def kiosk_analysis(
             ),
         }
     ).withColumn("_stage", F.when(F.col("observed_stage") != "UNKNOWN", F.col("observed_stage")))
-    names = {
-        "confirmed": "stage",
-        "changed": "stage_changed",
-        "previous": "previous_stage",
-        "is_first": "stage_is_first",
-        "streak": "stage_reads",
-    }
-    staged = confirm_reads(
-        seen, "_stage", minimum_reads=minimum_reads, run="run_start", keys=keys, span=span
-    ).withColumnsRenamed(names)
-    screen_names = {
-        "confirmed": "screen_fingerprint",
-        "changed": "screen_replaced",
-        "previous": "previous_fingerprint",
-        "is_first": "screen_initial_confirmation",
-        "streak": "screen_reads",
-    }
-    both = confirm_reads(
-        staged,
-        "observed_fingerprint",
-        minimum_reads=minimum_reads,
+    found = streaks(
+        seen,
+        keys,
+        ["frame_index"],
+        {"_g": "_stage", "_f": "observed_fingerprint"},
+        minimum=minimum_reads,
         run="run_start",
-        keys=keys,
         span=span,
-    ).withColumnsRenamed(screen_names)
+    )
+    both = found.select(
+        *seen.columns,
+        *_judged("_g", "_stage", minimum_reads, "stage_").values(),
+        *_judged("_f", "observed_fingerprint", minimum_reads, "screen_").values(),
+    )
     combined = F.when(sure, F.least("confidence", "ocr_confidence")).otherwise(0.0)
+    stage, screen = F.col("stage_confirmed"), F.col("screen_confirmed")
     return both.withColumns(
         {
-            "state": F.coalesce("stage", F.lit("UNKNOWN")),
-            "is_uncertain": F.col("stage").isNull(),
-            "result_confidence": F.when(F.col("stage").isNotNull(), combined).otherwise(0.0),
-            "screen_changed": F.col("screen_replaced") | F.col("screen_initial_confirmation"),
-            "screen_is_confirmed": F.col("screen_fingerprint").isNotNull(),
-            "screen_confidence": F.when(
-                F.col("screen_fingerprint").isNotNull(), combined
-            ).otherwise(0.0),
+            "state": F.coalesce(stage, F.lit("UNKNOWN")),
+            "is_uncertain": stage.isNull(),
+            "result_confidence": F.when(stage.isNotNull(), combined).otherwise(0.0),
+            "screen_changed": F.col("screen_changed") | F.col("screen_is_first"),
+            "screen_initial_confirmation": F.col("screen_is_first"),
+            "screen_is_confirmed": screen.isNotNull(),
+            "screen_fingerprint": screen,
+            "screen_confidence": F.when(screen.isNotNull(), combined).otherwise(0.0),
         }
-    ).drop("_stage", "stage", "stage_is_first", "screen_replaced", "previous_fingerprint")
+    ).drop("_stage", "stage_confirmed", "screen_confirmed", "screen_is_first", "stage_is_first")
 
 
 def large_enough(

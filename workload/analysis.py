@@ -305,7 +305,7 @@ def i3(spark, sf):
     det = detections(spark, sf)
     seen = R.presence(det, frames(det), minimum_seen=2, maximum_missed=2)
     results = det.select(*KEY, "frame_index", F.col("confidence").alias("detection_confidence"))
-    return S.presence_events(results, seen).drop("phase")
+    return S.presence_events(results, seen).drop("phase", "result_frame")
 
 
 @query(
@@ -709,7 +709,7 @@ WHERE s IS NOT NULL AND g <= last_frame""",
 def i12(spark, sf):
     det = detections(spark, sf)
     results = det.select(*KEY, "frame_index", F.col("confidence").alias("detection_confidence"))
-    return S.standalone_presence(results, frames(det)).drop("phase")
+    return S.standalone_presence(results, frames(det)).drop("phase", "result_frame")
 
 
 def spoken(spark, sf):

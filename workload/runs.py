@@ -114,7 +114,8 @@ presence AS (
 @query("e4_presence", PRESENCE_SQL + "SELECT * FROM presence")
 def e4(spark, sf):
     det = detections(spark, sf)
-    return R.presence(det, frames(det), minimum_seen=2, maximum_missed=2)
+    seen = R.presence(det, frames(det), minimum_seen=2, maximum_missed=2)
+    return seen.drop("last_seen")
 
 
 @query(
