@@ -201,9 +201,9 @@ def best_state_by_frame(
 
     def ranked(df: DataFrame, kind: str, state: str, confidence: str, level: int) -> DataFrame:
         number = F.when(is_finite(F.col(confidence)), F.col(confidence)).otherwise(0.0)
-        said = F.when(F.coalesce("is_uncertain", F.lit(False)), "UNKNOWN").otherwise(
-            norm_state(F.col(state))
-        )
+        said = norm_state(F.col(state))
+        if "is_uncertain" in df.columns:
+            said = F.when(F.coalesce("is_uncertain", F.lit(False)), "UNKNOWN").otherwise(said)
         return df.filter(object_family(F.col(kind)) == family).select(
             *keys, F.struct(F.lit(level), number, -F.col("pos")).alias("_rank"), said.alias("_state")
         )

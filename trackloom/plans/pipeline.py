@@ -26,6 +26,7 @@ from trackloom.operators import runs as R
 from trackloom.operators import scene as S
 from trackloom.operators import tracks as T
 from trackloom.operators.runs import OBJECT
+from trackloom.session import cut
 
 KEY = list(OBJECT)
 
@@ -171,11 +172,14 @@ def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataF
     signals = T.signal_detections(det).join(
         chosen, ["source_id", "frame_index", "det_index"], "left_semi"
     )
-    tracked = T.assign_stable_ids(
-        others.unionByName(signals),
-        iou_threshold=settings.reconnect_iou,
-        maximum_reconnect=settings.maximum_reconnect,
-        maximum_missed=settings.maximum_missed,
+    # identities and results are read by several branches: written once each
+    tracked = cut(
+        T.assign_stable_ids(
+            others.unionByName(signals),
+            iou_threshold=settings.reconnect_iou,
+            maximum_reconnect=settings.maximum_reconnect,
+            maximum_missed=settings.maximum_missed,
+        )
     )
     results = route(
         tracked,
@@ -184,6 +188,7 @@ def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataF
             fixed.ANALYZER_NAMES["bus"]: _vehicles,
         },
     )
+    results = cut(results)
     seen = R.presence(
         tracked,
         frames,
@@ -225,7 +230,7 @@ def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataF
     ordered = events.withColumn(
         "seq", F.xxhash64("stable_id", "event_type", "frame_index", "phase")
     )
-    candidates = NA.narratable(ordered, presence_types=settings.presence_types)
+    candidates = NA.narratable(cut(ordered), presence_types=settings.presence_types)
     narrations = NA.narration_queue(
         candidates,
         clock,
