@@ -60,8 +60,18 @@ def with_halo(
     return df.select("*", F.inline(F.array_compact(F.array(*homes))))
 
 
-def drop_ghosts(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(GHOST)).drop(CHUNK, GHOST)
+def drop_ghosts(df: DataFrame, keep_chunk: bool = False) -> DataFrame:
+    """Drop the copies. With ``keep_chunk`` a carry over the same clock and span
+    that follows finds its rows already in place and needs no shuffle."""
+    own = df.filter(~F.col(GHOST))
+    return own.drop(GHOST) if keep_chunk else own.drop(CHUNK, GHOST)
+
+
+def _in_chunks(df: DataFrame, position: str, span: float, values: dict[str, Column]) -> DataFrame:
+    """Add the values, and the chunk of every row unless it is already there."""
+    if CHUNK not in df.columns:
+        df = df.withColumn(CHUNK, chunk_of(position, span))
+    return df.withColumns(values)
 
 
 def chunk_window(keys: Sequence[str], *order: str | Column) -> WindowSpec:
@@ -89,9 +99,8 @@ def carry_last(
     """
     keys, order = list(keys), list(order)
     raw = {name: f"_raw_{name}" for name in values}
-    chunked = df.withColumns(
-        {CHUNK: chunk_of(order[0], span), **{raw[n]: v for n, v in values.items()}}
-    )
+    chunked = _in_chunks(df, order[0], span, {raw[n]: v for n, v in values.items()})
+    kept = [c for c in df.columns if c != CHUNK]
     direction = _descending(order) if reverse else [F.col(name) for name in order]
     rows = chunk_window(keys, *direction).rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1
@@ -118,7 +127,7 @@ def carry_last(
         *[F.last(f"_edge_{n}", ignorenulls=True).over(earlier).alias(f"_far_{n}") for n in values],
     ).filter(" or ".join(f"`_far_{n}` is not null" for n in values))
     return local.join(carried, [*keys, CHUNK], "left").select(
-        *df.columns,
+        *kept,
         *[F.coalesce(f"_in_{n}", f"_far_{n}").alias(n) for n in values],
     )
 
@@ -134,9 +143,8 @@ def carry_sum(
     """Running sum of each value over its key, the current row included."""
     keys, order = list(keys), list(order)
     raw = {name: f"_raw_{name}" for name in values}
-    chunked = df.withColumns(
-        {CHUNK: chunk_of(order[0], span), **{raw[n]: v for n, v in values.items()}}
-    )
+    chunked = _in_chunks(df, order[0], span, {raw[n]: v for n, v in values.items()})
+    kept = [c for c in df.columns if c != CHUNK]
     rows = chunk_window(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
     local = chunked.withColumns({f"_in_{n}": F.sum(raw[n]).over(rows) for n in values})
     edges = chunked.groupBy(*keys, CHUNK).agg(
@@ -149,7 +157,7 @@ def carry_sum(
         *keys, CHUNK, *[F.sum(f"_edge_{n}").over(earlier).alias(f"_far_{n}") for n in values]
     ).filter(" or ".join(f"`_far_{n}` is not null" for n in values))
     return local.join(carried, [*keys, CHUNK], "left").select(
-        *df.columns,
+        *kept,
         *[
             (F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_far_{n}", F.lit(0))).alias(n)
             for n in values

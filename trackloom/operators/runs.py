@@ -43,7 +43,8 @@ def runs(
     marked = drop_ghosts(
         with_halo(df, frame, span=span, before=1).withColumn(
             "_head", ~F.coalesce(continues, F.lit(False))
-        )
+        ),
+        keep_chunk=True,
     )
     started = carry_last(
         marked, keys, [frame], {"run_start": F.when(F.col("_head"), F.col(frame))}, span=span
@@ -71,7 +72,7 @@ def _confirming_rows(
     marked = with_halo(df, frame, span=span, before=n).withColumn(
         "_confirms", F.coalesce(full(n), F.lit(False)) & ~F.coalesce(full(n + 1), F.lit(False))
     )
-    return drop_ghosts(marked).filter(
+    return drop_ghosts(marked, keep_chunk=True).filter(
         F.col("_confirms") & ~F.col(state).isin(*fixed.UNKNOWN_STATES)
     ).drop("_confirms")
 
@@ -165,7 +166,8 @@ def presence(
                 "_starts": F.coalesce(gap > maximum_missed, F.lit(True)),
                 "_streak": F.coalesce(streak, F.lit(False)),
             }
-        )
+        ),
+        keep_chunk=True,
     )
     lives = carry_last(
         marked, keys, [frame], {"lifetime_start": F.when(F.col("_starts"), F.col(frame))}, span=span
@@ -225,7 +227,8 @@ def gap_epochs(
     marked = drop_ghosts(
         with_halo(df, clock, span=span, before=maximum_gap).withColumn(
             "_break", F.coalesce(far, F.lit(True)).cast("int")
-        )
+        ),
+        keep_chunk=True,
     )
     return carry_sum(marked, keys, order, {"epoch": F.col("_break")}, span=span).drop("_break")
 
@@ -402,7 +405,8 @@ def cadence_due(
     marked = drop_ghosts(
         with_halo(df, frame, span=span, before=1).withColumn(
             "_head", ~F.coalesce(follows, F.lit(False))
-        )
+        ),
+        keep_chunk=True,
     )
     started = carry_last(
         marked, keys, [frame], {"_start": F.when(F.col("_head"), F.col(frame))}, span=span

@@ -262,7 +262,8 @@ def description_due(
     w = chunk_window(keys, "frame_index")
     gap = F.coalesce(F.lag("frame_index").over(w) != F.col("frame_index") - 1, F.lit(True))
     marked = drop_ghosts(
-        with_halo(steady, "frame_index", span=span, before=1).withColumn("_head", gap)
+        with_halo(steady, "frame_index", span=span, before=1).withColumn("_head", gap),
+        keep_chunk=True,
     )
     started = carry_last(
         marked,
