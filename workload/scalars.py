@@ -818,7 +818,7 @@ SELECT event_id, pos, a = b AS matches FROM linked WHERE b IS NOT NULL""",
 def h23(spark, sf):
     lines = screens(spark, sf)
     pairs = lines.select(
-        "event_id", F.posexplode(F.arrays_zip(F.col("lines"), F.slice("lines", 2, 1000).alias("n")))
+        "event_id", F.posexplode(F.arrays_zip(F.col("lines"), F.slice("lines", F.lit(2), F.size("lines")).alias("n")))
     ).filter("col.n is not null")
     return pairs.select(
         "event_id",
