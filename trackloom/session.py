@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster, or a fresh local one where none is named."""
+    """Shared folder of the cluster; a fresh local one only where Spark itself is local."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context._jsc.sc().getCheckpointDir()
     return configured or current.get()
