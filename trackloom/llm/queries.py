@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import warc
+from trackloom.llm import decontamination, language, pii, quality, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,67 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to,
        TRUE AS valid
 FROM k"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and which items they come from."""
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_decontamination"] = op9_decontamination
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+#: Also the stage of the pipeline, over its own documents.
+ORACLES["op9_decontamination"] = f"""
+WITH item AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark
+), win AS (
+  SELECT item_id, least(len(w), 13) AS n,
+         unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS gram
+  FROM item WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), size AS (
+  SELECT DISTINCT n FROM win
+), pos AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, size WHERE len(w) >= n
+), spot AS (
+  SELECT pos.doc_id, pos.i, pos.n, array_to_string(w[pos.i:pos.i + pos.n - 1], ' ') AS gram FROM pos JOIN doc USING (doc_id)
+), hit AS (
+  SELECT DISTINCT spot.doc_id, spot.i, spot.n, win.item_id FROM spot JOIN win USING (n, gram)
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: pattern spans and those the random field adds."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_pii"] = op8_pii
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document."""
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_language"] = op7_language
+QUERIES["op5_quality"] = op5_quality

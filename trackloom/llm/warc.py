@@ -220,8 +220,8 @@ def read_archives(archives: DataFrame, path: str = "archive", payloads: bool = T
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     names = archives.select(F.col(path).cast("string").alias("archive")).where(F.col("archive").isNotNull())
-    # An archive is the unit of work: deal the paths out evenly, one small row each.
-    return names.repartition("archive").mapInArrow(read, RECORD)
+    # An archive is the unit of work; a stated number of partitions is not merged by adaptive execution.
+    return names.repartition(max(1, names.count())).mapInArrow(read, RECORD)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
