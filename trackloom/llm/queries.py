@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, language, pii, quality, warc
+from trackloom.llm import decontamination, language, lm, pieces, pii, quality, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_language"] = op7_language
 QUERIES["op5_quality"] = op5_quality
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document as pieces, and whether they decode to it."""
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_pieces"] = op4_pieces
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree code length of every whole document, with a word-count baseline."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_context_tree"] = op3_context_tree
