@@ -1,16 +1,46 @@
-"""Near-duplicate classes by ProbMinHash signatures, banding and exact verification."""
+"""Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
+
+Texts are runs of ``SHINGLE`` words with their counts as weights, and two texts are linked when the
+probability Jaccard similarity of these is at least ``LEAST``. A class is a connected component of
+links.
+
+1. One pass over the texts gives a digest of the words and one hash per band of the signature.
+   Texts with equal words are one node from here on.
+2. Nodes that share a band hash form a bucket. Buckets of the same members, as most bands of true
+   copies give, are verified once.
+3. Buckets are cut into blocks of at most ``BLOCK`` members, and every pair of blocks is a tile: the
+   unit of work whatever the size of a bucket. Only tile rows are made, never pairs of members; in
+   a tile shared shingles are counted by matrix products, and it returns a spanning forest of its
+   links. No bucket is capped and no pair of a bucket is left out.
+4. Components of the forest edges give the classes.
+
+A pair of exactly the least similarity shares no band with a probability of 5e-5.
+
+Edge cases: null, empty and wordless texts are alone in their class; shorter texts have one shingle
+of all their words; equal ids are told apart by their text; an empty table gives an empty result;
+only the named columns are read.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.llm.common import rows_of, written
+from trackloom.llm.graph import components
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-REGISTERS = 63
-BAND_ROWS = 3
+REGISTERS = 125
+BAND_ROWS = 5
+BLOCK = 512
 LEAST = 0.8
 CACHE_LIMIT = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -97,3 +127,178 @@ def similarity(a_keys: np.ndarray, a_weights: np.ndarray, b_keys: np.ndarray, b_
     own_a, own_b = a_weights[i], b_weights[j]
     cut = np.searchsorted(ratio, own_a / own_b, side="right")
     return float((1 / (b_upto[cut] / own_b + a_after[cut] / own_a)).sum())
+
+
+def numbered(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, mark, body): a row is found again by its id and the hash of its text."""
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("body"))
+    return rows.select("doc", F.xxhash64("body").alias("mark"), "body")
+
+
+def described(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, mark, digest, bands) per row: hash of the text, digest of the words, null without words, and the band hashes."""
+    kind = dict(documents.dtypes)[doc_id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            digests, bands = [], []
+            for (body,) in rows_of(batch, "body"):
+                words = words_of(body)
+                if not words:
+                    digests.append(None)
+                    bands.append(None)
+                    continue
+                digests.append(blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
+                owner = signature(*shingles(words, known)).reshape(-1, BAND_ROWS)
+                h = np.arange(len(owner), dtype=np.uint64)
+                for k in range(BAND_ROWS):
+                    h = mix((h + GOLDEN) ^ owner[:, k])
+                bands.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc", "mark", "digest", "bands"],
+            )
+
+    return numbered(documents, doc_id, text).mapInArrow(run, f"doc {kind}, mark bigint, digest binary, bands array<bigint>")
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, n, digest): members of buckets with at least two nodes, each set of members once."""
+    members = nodes.select("digest", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("f2")
+    )
+    # Written, so that the join below has plain exchanges, which can be split where a bucket is large.
+    once = written(sizes.where("n > 1").groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    return members.join(once, "bucket")
+
+
+def linked(keys: list[np.ndarray], weights: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with at least the least similarity, as (root, member)."""
+    n = len(keys)
+    sizes = np.array([len(k) for k in keys])
+    mass = np.array([w.sum() for w in weights])
+    row = np.repeat(np.arange(n), sizes)
+    every, column, seen = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    number = np.cumsum(seen > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    value = (np.concatenate(weights) / np.repeat(mass, sizes))[shared]
+    overlap, part = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    width = max(1, (1 << 24) // n)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        own = (column >= a) & (column < a + width)
+        held = np.zeros((n, width), np.float32)
+        held[row[own], column[own] - a] = 1
+        share = np.zeros((n, width), np.float32)
+        share[row[own], column[own] - a] = value[own]
+        overlap += held @ held.T
+        part += share @ held.T
+    # Plain sets: similarity is overlap by union. Weighted ones: the common mass bounds it from above.
+    plain = sizes == mass
+    jaccard = overlap / (sizes[:, None] + sizes[None, :] - overlap)
+    sure = (jaccard >= least - 1e-6) & plain[:, None] & plain[None, :]
+    maybe = (np.minimum(part, part.T) >= least - 1e-4) & ~(plain[:, None] & plain[None, :])
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    left = np.ones(n, bool)
+    for i in range(n):  # components of the sure links, by breadth
+        if left[i]:
+            left[i] = False
+            edge = np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(sure[edge].any(0) & left)
+                left[edge] = False
+                root[edge] = i
+    i, j = np.nonzero(np.triu(maybe, 1))
+    for k in np.argsort(-part[i, j], kind="stable"):
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b and similarity(keys[i[k]], weights[i[k]], keys[j[k]], weights[j[k]]) >= least - 1e-9:
+            root[max(a, b)] = min(a, b)
+    return [(find(k), k) for k in range(n) if find(k) != k]
+
+
+def links(rows: DataFrame, nodes: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b): forest edges between nodes, from all tiles of all buckets."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.select("digest", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("digest", "bucket"), blocks).cast("int").alias("own"))
+    tiles = placed.select(
+        "digest",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.col("blocks") - 1),
+                lambda o: F.struct(F.col("bucket"), F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")),
+            )
+        ).alias("tile"),
+    )
+    tiles = written(tiles, "tiles")
+    # One row of each member brings its text; the texts of all others stay where they are.
+    chosen = nodes.join(tiles.select("digest").distinct(), "digest", "left_semi").select(F.col("doc").alias("w_doc"), F.col("mark").alias("w_mark"))
+    texts = rows.join(chosen, rows["mark"].eqNullSafe(chosen["w_mark"]) & rows["doc"].eqNullSafe(chosen["w_doc"]), "left_semi")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            digests, keys, weights = [], [], []
+            for (body,) in rows_of(batch, "body"):
+                words = words_of(body)
+                k, w = shingles(words, known)
+                digests.append(blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
+                keys.append(k.tobytes())
+                weights.append(b"" if (w == 1).all() else w.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.binary()), "weights": pa.array(weights, pa.binary())})
+
+    vectors = texts.select("body").mapInArrow(describe, "digest binary, keys binary, weights binary")
+
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("digest")
+        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        weights = [np.frombuffer(w, np.float32).astype(float) if len(w) else np.ones(len(k)) for k, w in zip(keys, group["weights"], strict=True)]
+        names = group["digest"].tolist()
+        return pd.DataFrame([(names[a], names[b]) for a, b in linked(keys, weights, least)], columns=["a", "b"])
+
+    return tiles.join(vectors, "digest").groupBy("tile").applyInPandas(verify, "a binary, b binary")
+
+
+def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """Per row: doc_id, text_hash, class_id (the least id of the class) and class_size in rows."""
+    rows = numbered(documents, doc_id, text)
+    found = written(described(documents, doc_id, text), "signatures")
+    nodes = found.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min(F.struct("doc", "mark")).alias("at"), F.min("doc").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")
+    )
+    nodes = nodes.select("digest", "at.doc", "at.mark", "least", "n", "bands")
+    roots = components(written(links(rows, nodes, buckets(nodes.select("digest", "bands")), least), "links"))
+    roots = nodes.select("digest", "least", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    # Only classes of several rows; written, so that a text with very many copies can be split below.
+    shared = written(roots.join(sizes.where("class_size > 1"), "root").select("digest", "class_id", "class_size"), "classes")
+    return found.join(shared, "digest", "left").select(
+        F.col("doc").alias(doc_id),
+        F.col("mark").alias("text_hash"),
+        F.when(F.col("class_size").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
+    )
+
+
+def one_per_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """Rows of ``documents``, all columns as they are: of each class the row with the least id.
+
+    Rows that repeat an id with its text count once.
+    """
+    found = classes(documents, doc_id, text, least).where("class_size > 1")
+    gone = found.where(~F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("__doc"), F.col("text_hash").alias("__mark"))
+    # Two texts of one class under one id: the text with the smaller hash stays.
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_hash").alias("first"))
+    twins = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).join(kept, "class_id").where("text_hash <> first")
+    gone = gone.union(twins.select(F.col(doc_id), "text_hash")).distinct()
+    rows = documents.withColumn("__row", F.xxhash64(F.col(text).cast("string")))
+    rows = rows.join(gone, rows["__row"].eqNullSafe(gone["__mark"]) & rows[doc_id].eqNullSafe(gone["__doc"]), "left_anti")
+    return rows.dropDuplicates([doc_id, "__row"]).drop("__row")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, language, lm, pieces, pii, quality, warc
+from trackloom.llm import decontamination, hamming, language, lm, minhash, pieces, pii, quality, substrings, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,36 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_context_tree"] = op3_context_tree
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+QUERIES["op2_near_duplicates"] = op2_near_duplicates
+
+
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that several documents share."""
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes for every vector whose id is divisible by 20."""
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_substrings"] = op1_substrings
+QUERIES["op6_hamming"] = op6_hamming
+ORACLES["op6_hamming"] = """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         len(list_filter(range(1, 65), lambda i: q.s[i] <> c.s[i])) AS distance
+  FROM c AS q, c WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d
+)
+SELECT query_id, rank::INT AS rank, id, distance::INT AS distance FROM r WHERE rank <= 10"""
