@@ -193,6 +193,8 @@ def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                         run_start = at if run_start is None else run_start
                         told.append(hit)
                     elif told:
+                        while run_start < at and body[run_start] & 0xC0 == 0x80:  # a character that began before is left out
+                            run_start += 1
                         part = body[run_start:at].decode("utf-8", "ignore")
                         words = len(part.split())
                         if words >= least_words:
