@@ -9,6 +9,7 @@ decoded again. All stages but the last return the columns of their documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackloom.llm import decontamination, language, minhash, pieces, pii
 from trackloom.llm.common import table
@@ -28,7 +29,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    out = pii.redact(docs)
+    kinds = dict(docs.dtypes)
+    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in kinds else out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

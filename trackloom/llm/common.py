@@ -42,7 +42,12 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, size)
 
 
-PACKED = "block bigint, n_rows int, payload binary"
+def squeeze(value: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(value)
+
+
+def expand(value: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value)
 
 
 def pack(items: list[tuple[str, bytes]]) -> bytes:
@@ -51,11 +56,11 @@ def pack(items: list[tuple[str, bytes]]) -> bytes:
     for key, value in items:
         raw = key.encode()
         parts += [struct.pack("<II", len(raw), len(value)), raw, value]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return squeeze(b"".join(parts))
 
 
 def unpack(payload: bytes) -> list[tuple[str, bytes]]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
+    data, at, out = expand(payload), 0, []
     while at < len(data):
         n_key, n_value = struct.unpack_from("<II", data, at)
         at += 8

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import remainder, rows_of
+from trackloom.llm.common import remainder, rows_of, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -34,6 +34,7 @@ PIECES = 4
 BATCH = 64
 STEPS = 700
 UNKNOWN = "und"
+BROADCAST_ROWS = 200_000
 #: A filter keeps a text whose best language has at least this mean probability.
 LEAST = 0.5
 
@@ -139,9 +140,10 @@ def sample(documents: DataFrame, doc_id: str, text: str, lang: str, per_language
     rows = documents.where((remainder(doc_id, 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body")).withColumn("h", F.xxhash64("body"))
     ranked = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    last = ranked.where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    # One row per language goes to every task; the texts themselves are not sorted.
-    chosen = rows.join(last, "lang").where("h <= last").dropDuplicates(["lang", "h"])
+    wanted = written(ranked.where(F.col("k") <= per_language).select("lang", "h"), "sample")
+    # per_language narrow rows of each language: sent to every task if their number, just counted, allows.
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    chosen = rows.join(small, ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import in_blocks, pack, remainder, unpack, written
+from trackloom.llm.common import expand, in_blocks, pack, remainder, squeeze, unpack, written
 
-DEPTH = 4
+DEPTH = 5
 END = 0xFF
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 PART_BYTES = 1 << 21
 TOP = 2
 NODE_BITS = 8
@@ -200,10 +200,10 @@ def packed_blocks(documents: DataFrame, doc_id: str, text: str, depth: int, bloc
                 {
                     "block": pa.array([block], pa.int64()),
                     "payload": pa.array([payload], pa.binary()),
-                    "windows": pa.array([windows.tobytes()], pa.binary()),
-                    "n_train": pa.array([counts.tobytes()], pa.binary()),
-                    "tokens": pa.array([b"\n".join(tokens)], pa.binary()),
-                    "token_train": pa.array([told.tobytes()], pa.binary()),
+                    "windows": pa.array([squeeze(np.diff(windows, prepend=0).tobytes())], pa.binary()),
+                    "n_train": pa.array([squeeze(counts.tobytes())], pa.binary()),
+                    "tokens": pa.array([squeeze(b"\n".join(tokens))], pa.binary()),
+                    "token_train": pa.array([squeeze(told.tobytes())], pa.binary()),
                     "n_texts": pa.array([int(train.sum())], pa.int64()),
                 }
             )
@@ -221,7 +221,7 @@ def window_rows(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, windows, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                win, n = np.frombuffer(windows, np.int64), np.frombuffer(counts, np.int64)
+                win, n = np.cumsum(np.frombuffer(expand(windows), np.int64)), np.frombuffer(expand(counts), np.int64)
                 for a in range(0, len(win), 100_000):
                     own = win[a : a + 100_000]
                     yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "win": pa.array(own), "n": pa.array(n[a : a + 100_000])})
@@ -235,9 +235,9 @@ def token_rows(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, n = tokens.split(b"\n") if tokens else [], np.frombuffer(counts, np.int64)
-                for a in range(0, len(names), 100_000):
-                    own = names[a : a + 100_000]
+                names, n = expand(tokens).split(b"\n"), np.frombuffer(expand(counts), np.int64)
+                for a in range(0, len(n), 100_000):
+                    own = names[a : min(a + 100_000, len(n))]
                     yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "token": pa.array(own, pa.binary()), "n": pa.array(n[a : a + 100_000])})
 
     return blocks.select("block", "tokens", "token_train").mapInArrow(run, "block bigint, token binary, n bigint")
@@ -293,15 +293,15 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
     least = math.log10(n_tokens + n_types + 1)
     end_value = math.log10(ends + 1) - least
 
-    back = wins.select("block", "win").join(known.hint("shuffle_hash"), "win").select("block", "win", F.lit(None).cast("binary").alias("token"), "value")
+    back = wins.select("block", "win").join(known.hint("shuffle_hash"), "win").select("block", "win", F.lit(None).cast("binary").alias("token"), F.col("value").cast("float").alias("value"), F.lit(0).cast("bigint").alias("c"))
     back = back.unionByName(
-        tokens.select("block", "token").join(counts.hint("shuffle_hash"), "token").select("block", F.lit(None).cast("bigint").alias("win"), "token", F.col("c").cast("double").alias("value"))
+        tokens.select("block", "token").join(counts.hint("shuffle_hash"), "token").select("block", F.lit(-1).cast("bigint").alias("win"), "token", F.lit(0.0).cast("float").alias("value"), "c")
     )
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_token = right["win"].isna().to_numpy()
-        value = right["value"].to_numpy()
-        count = dict(zip(right["token"].to_numpy()[is_token], value[is_token].astype(np.int64).tolist(), strict=True))
+        is_token = right["win"].to_numpy() < 0  # no window is below 0, and a null would turn the column into floats
+        value = right["value"].to_numpy().astype(float)
+        count = dict(zip(right["token"].to_numpy()[is_token], right["c"].to_numpy()[is_token].tolist(), strict=True))
         base_of = {c: math.log10(c + 1) - least for c in set(count.values())}
         win, gain = right["win"].to_numpy()[~is_token].astype(np.int64), value[~is_token]
         order = np.argsort(win)
