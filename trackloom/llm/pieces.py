@@ -34,7 +34,7 @@ from trackloom.llm.common import rows_of, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 1_500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -96,6 +96,11 @@ class Vocabulary:
         lowest = min((self.scores[i] for i in usable), default=0.0)
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.base, self.check = double_array({self.pieces[i].encode(): i for i in usable})
+        # The piece that ends in a state, read off its end child once.
+        self.piece_of = [-1] * len(self.check)
+        for state, child in enumerate(self.base):
+            if self.check[state] >= 0 and child >= 0 and self.check[child] == state and self.base[child] < 0:
+                self.piece_of[state] = -1 - self.base[child]
         texts = [self.pieces[i] for i in usable]
         self.by_word = not any(MARK in p.lstrip(MARK) for p in texts)
         alone = "" if any("\n" in p for p in texts) else "\n"
@@ -146,7 +151,9 @@ def double_array(keys: dict[bytes, int]) -> tuple[list[int], list[int]]:
                 child = trie[node][c - 1]
                 place[child] = start + c
                 todo.append(child)
-    return base.tolist(), check.tolist()
+    # A full row of children fits behind every state, so a lookup needs no test of bounds.
+    room = np.full(512, -1, np.int64)
+    return [*base.tolist(), *(room * 0).tolist()], [*check.tolist(), *room.tolist()]
 
 
 def _grow(trie: list[dict[int, int]], ends: list[int], at: int, b: int) -> int:
@@ -160,33 +167,31 @@ def best_path(word: str, vocabulary: Vocabulary) -> list[int]:
     """Ids of the best path through one word; unknown characters come out as bytes."""
     data = word.encode("utf-8", "replace")
     n = len(data)
-    base, check, scores = vocabulary.base, vocabulary.check, vocabulary.scores
-    best: list[float | None] = [None] * (n + 1)
+    base, check, piece_of, scores = vocabulary.base, vocabulary.check, vocabulary.piece_of, vocabulary.scores
+    best = [-math.inf] * (n + 1)
     back, ids = [0] * (n + 1), [-1] * (n + 1)
     best[0] = 0.0
     start = 0
-    top = len(check)
     while start < n:
         lead = data[start]
         width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        here, state, single = best[start], 0, False
-        for at in range(start, n):
-            nxt = base[state] + data[at] + 1
-            if nxt >= top or check[nxt] != state:
+        here, state, end, single = best[start], 0, start, False
+        for byte in data[start:] if start else data:
+            below = base[state] + byte + 1
+            if check[below] != state:
                 break
-            state = nxt
-            leaf = base[state]
-            if leaf >= 0 and check[leaf] == state and base[leaf] < 0:
-                piece = -1 - base[leaf]
+            state, end = below, end + 1
+            piece = piece_of[below]
+            if piece >= 0:
                 score = here + scores[piece]
-                end = at + 1
-                if best[end] is None or score > best[end]:
+                if score > best[end]:
                     best[end], back[end], ids[end] = score, start, piece
-                single = single or end == start + width
+                if end == start + width:
+                    single = True
         if not single:
             end = min(start + width, n)
             score = here + vocabulary.unknown_score
-            if best[end] is None or score > best[end]:
+            if score > best[end]:
                 best[end], back[end], ids[end] = score, start, -1
         start += width
     out = []
@@ -213,7 +218,7 @@ class Words(dict):
         if len(self) >= CACHE_LIMIT:
             self.clear()
         value = np.array(best_path(word, self.vocabulary), np.int32).tobytes()
-        if len(word) <= 64:
+        if len(word) <= 40:
             self[word] = value
         return value
 
