@@ -1,6 +1,7 @@
 """Plain Python state machines that the Spark operators are compared with."""
 
 import math
+from dataclasses import dataclass
 
 
 def debounce(rows, n):
@@ -149,6 +150,19 @@ def queue(ticks, capacity, cooldown):
     return out
 
 
+@dataclass
+class Thresholds:
+    history: int = 6
+    minimum_samples: int = 3
+    minimum_span_s: float = 0.25
+    warning_s: float = 3.5
+    imminent_s: float = 1.5
+    minimum_area: float = 0.005
+    minimum_consistency: float = 0.75
+    repeat_s: float = 2.0
+    minimum_confidence: float = 0.35
+
+
 def approach(rows, p):
     """rows: (frame, time, area, confidence, in_path, moving) -> emissions."""
     samples, level, at, count, last, out = [], None, None, 0, None, []

@@ -3,7 +3,6 @@ import random
 import naive
 from pyspark.sql import functions as F
 from trackloom.operators.hazard import growth_features, hazard_events, time_to_contact
-from trackloom.operators.steps import Approach
 from trackloom.operators.tracks import assign_stable_ids, select_targets
 
 
@@ -85,7 +84,7 @@ def approach_rows(seed, frames=140):
 def test_hazards_match_one_long_walk(spark):
     for seed, span in ((1, 9), (2, 25), (3, 65_536)):
         rows = approach_rows(seed)
-        step = Approach()
+        step = naive.Thresholds()
         side = [(a * 640 * 480) ** 0.5 for _, _, a in rows]
         df = spark.createDataFrame(
             [
@@ -113,7 +112,7 @@ def test_growth_windows_agree_with_the_walk_on_advancing_clocks(spark):
         "source_id long, stable_id string, frame_index long, timestamp_s double, "
         "area_ratio double, confidence double, x1 double, x2 double, class_name string",
     ).withColumn("width", F.lit(640.0))
-    always = Approach(repeat_s=0.0)
+    always = naive.Thresholds(repeat_s=0.0)
     expected = [f for f, _, _ in naive.approach([(f, t, a, 0.9, True, True) for f, t, a in rows], always)]
     for span in (8, 65_536):
         at_risk = time_to_contact(growth_features(df, span=span))

@@ -21,10 +21,12 @@ from trackloom.operators.keyed import (
     carry_sum,
     chunk_window,
     drop_ghosts,
+    previous_row,
     with_halo,
 )
 from trackloom.operators.runs import OBJECT
-from trackloom.operators.steps import Approach
+from trackloom.operators.steps import Warned
+from trackloom.session import cut
 
 
 def growth_features(
@@ -84,7 +86,7 @@ def time_to_contact(
     frame_width: str = "width",
 ) -> DataFrame:
     """Rows at risk with level, zone and confidence, before any throttling."""
-    contact = F.lit(2.0) / F.col("growth_rate")
+    contact = F.try_divide(F.lit(2.0), F.col("growth_rate"))
     level = F.when(contact <= imminent_s, "IMMINENT").otherwise("WARNING")
     in_path = corridor_overlap("x1", "x2", F.col(frame_width)) >= minimum_corridor_overlap
     moving = norm_class(F.col("class_name")).isin(*fixed.MOVING_HAZARD_TYPES)
@@ -116,62 +118,101 @@ def time_to_contact(
     )
 
 
+def recent_growth(
+    df: DataFrame, *, history: int = 6, keys: Sequence[str] = OBJECT, span: int = DEFAULT_SPAN
+) -> DataFrame:
+    """:func:`growth_features` for any clock and any box, with ``_run``, the first frame of the presence.
+
+    A box without area is no sample but does not end a presence; of rows at one time only the last
+    stays a sample for the rows after them. Samples of one time are numbered along the key, so the
+    ones before a row are a window over those numbers however many rows share a time.
+    """
+    keys = list(keys)
+    w = chunk_window(keys, "frame_index")
+    gap = F.coalesce(F.lag("frame_index").over(w) != F.col("frame_index") - 1, F.lit(True))
+    rows = drop_ghosts(
+        with_halo(df, "frame_index", span=span, before=1).withColumn("_gap", F.when(gap, F.col("frame_index"))), keep_chunk=True
+    )
+    rows = carry_last(rows, keys, ["frame_index"], {"_run": F.col("_gap")}, span=span).drop("_gap")
+    sampled = rows.filter(F.col("area_ratio") > 0)
+    sampled = previous_row(sampled, keys, ["frame_index"], {"_then": "timestamp_s", "_then_run": "_run"}, span=span)
+    # the same time up to rounding
+    near = F.abs(F.col("timestamp_s") - F.col("_then")) <= 1e-9 * F.greatest(F.abs("timestamp_s"), F.abs("_then"))
+    same = F.col("_has_previous") & (F.col("_then_run") == F.col("_run")) & near
+    sampled = carry_sum(
+        sampled, keys, ["frame_index"], {"_group": F.when(same, 0).otherwise(1)}, span=span
+    ).drop("_then", "_then_run", "_has_previous")
+    last = sampled.groupBy(*keys, "_group").agg(
+        F.max_by(F.struct("_run", F.col("timestamp_s").alias("t"), F.col("area_ratio").alias("a")), "frame_index").alias("_last")
+    )
+    before = chunk_window(keys, "_group").rowsBetween(-(history - 1), -1)
+    earlier = drop_ghosts(
+        with_halo(last, "_group", span=span, before=history).withColumn("_earlier", F.collect_list("_last").over(before))
+    ).select(*keys, "_group", "_earlier")
+    joined = sampled.join(earlier, [*keys, "_group"])
+    joined = joined.withColumn("_earlier", F.filter("_earlier", lambda s: s["_run"] == F.col("_run")))
+    areas = F.concat(F.transform("_earlier", lambda s: s["a"]), F.array("area_ratio"))
+    grew = F.zip_with(
+        F.slice(areas, 2, history), F.slice(areas, F.lit(1), F.size(areas) - 1), lambda later, earlier: (later > earlier).cast("int")
+    )
+    first = F.get("_earlier", F.lit(0))
+    span_s = F.col("timestamp_s") - F.coalesce(first["t"], F.col("timestamp_s"))
+    return joined.withColumns(
+        {
+            "samples": F.size("_earlier") + 1,
+            "span_s": span_s,
+            "growth_rate": F.try_divide(F.log("area_ratio") - F.log(first["a"]), span_s),
+            "growth_consistency": F.try_divide(F.aggregate(grew, F.lit(0.0), lambda n, g: n + g), F.size("_earlier")),
+        }
+    ).drop("_group", "_earlier")
+
+
 def hazard_events(
     det: DataFrame,
     *,
     keys: Sequence[str] = OBJECT,
     frame_width: int,
     frame_height: int,
-    minimum_corridor_overlap: float = 0.2,
+    history: int = 6,
+    repeat_s: float = 2.0,
     span: int = DEFAULT_SPAN,
     **thresholds,
 ) -> DataFrame:
     """Warnings per object: first, escalations, and repeats after the interval.
 
-    Exact for boxes without area and for clocks that stand still as well.
+    Windows find the rows at risk; only those pass the emission fold, apart for every unbroken
+    presence of an object. Jobs run while the plan is built, as in every fold.
     """
     keys = list(keys)
-    w = F.lit(float(frame_width))
     rows = det.select(
         *keys,
         "frame_index",
         "timestamp_s",
-        (box_area("x1", "y1", "x2", "y2") / F.lit(float(frame_width * frame_height))).alias(
-            "area_ratio"
-        ),
+        (box_area("x1", "y1", "x2", "y2") / F.lit(float(frame_width * frame_height))).alias("area_ratio"),
         "confidence",
-        (corridor_overlap("x1", "x2", w) >= minimum_corridor_overlap).alias("in_path"),
-        norm_class(F.col("class_name")).isin(*fixed.MOVING_HAZARD_TYPES).alias("is_moving_type"),
+        "class_name",
+        "x1",
+        "x2",
+        F.lit(float(frame_width)).alias("width"),
     )
-    found = fold(rows, keys, ["frame_index"], Approach(**thresholds), span=span)
-    # numbered within an unbroken presence of the object
-    cw = chunk_window(keys, "frame_index")
-    gap = F.coalesce(F.lag("frame_index").over(cw) != F.col("frame_index") - 1, F.lit(True))
-    breaks = drop_ghosts(
-        with_halo(rows.select(*keys, "frame_index"), "frame_index", span=span, before=1).withColumn(
-            "_gap", gap
-        )
-    ).filter("_gap")
-    marks = breaks.select(*keys, "frame_index", F.lit(0).alias("_kind")).unionByName(
-        found.withColumn("_kind", F.lit(1)), allowMissingColumns=True
-    )
-    order = ["frame_index", "_kind"]
-    counted = carry_sum(marks, keys, order, {"_said": F.col("_kind")}, span=span)
-    based = carry_last(
-        counted, keys, order, {"_base": F.when(F.col("_kind") == 0, F.col("_said"))}, span=span
-    )
-    places = det.select(*keys, "frame_index", "class_name", "x1", "x2")
-    return (
-        based.filter("_kind = 1")
-        .withColumn("emission_index", F.col("_said") - F.coalesce("_base", F.lit(0)))
-        .drop("_kind", "_said", "_base")
-        .join(places, [*keys, "frame_index"])
-        .withColumns(
-            {
-                "object_type": norm_class(F.col("class_name")),
-                "zone": zone("x1", "x2", w),
-                "event_type": F.lit("HAZARD_DETECTED"),
-            }
-        )
-        .drop("class_name", "x1", "x2")
+    risky = cut(time_to_contact(recent_growth(rows, history=history, keys=keys, span=span), **thresholds))
+    within = [*keys, "_run"]
+    passed = fold(
+        risky.select(*within, "frame_index", "timestamp_s", "level"), within, ["frame_index"], Warned(repeat_s), span=span
+    ).select(*within, "frame_index")
+    numbered = carry_sum(passed, within, ["frame_index"], {"emission_index": F.lit(1)}, span=span)
+    return risky.join(numbered, [*within, "frame_index"]).select(
+        *keys,
+        "frame_index",
+        "timestamp_s",
+        "level",
+        "time_to_contact_s",
+        "growth_rate",
+        "area_ratio",
+        "in_path",
+        F.col("hazard_confidence").alias("confidence"),
+        "emission_index",
+        norm_class(F.col("class_name")).alias("object_type"),
+        "zone",
+        F.lit("HAZARD_DETECTED").alias("event_type"),
     )

@@ -259,7 +259,39 @@ def e12(spark, sf):
     )
 
 
-@query("e23_escalation_throttle")
+WARNED_SQL = (
+    GROWTH_SQL
+    + f""",
+contact AS (
+  SELECT *, 2 / growth_rate AS ttc, greatest(0, least(x2, 480) - greatest(x1, 160)) / (x2 - x1) >= 0.2 AS in_path,
+         least(1, confidence * growth_consistency) AS sure
+  FROM growth
+  WHERE area_ratio >= 0.005 AND samples >= 3 AND span_s >= 0.25 AND growth_rate > 0 AND growth_consistency >= 0.75),
+risky AS (
+  SELECT *, CASE WHEN ttc <= 1.5 THEN 'IMMINENT' ELSE 'WARNING' END AS level,
+         row_number() OVER (PARTITION BY source_id, stable_id, run ORDER BY frame_index) AS n
+  FROM contact WHERE ttc <= 3.5 AND (ttc <= 1.5 OR (in_path AND {norm_sql("class_name")} IN ({MOVING}))) AND sure >= 0.35),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT source_id, stable_id, run, n, frame_index, timestamp_s AS said_at, level AS said, TRUE AS passed FROM risky WHERE n = 1
+    UNION ALL
+    SELECT r.source_id, r.stable_id, r.run, r.n, r.frame_index,
+           CASE WHEN r.timestamp_s - w.said_at >= 2 OR (w.said = 'WARNING' AND r.level = 'IMMINENT') THEN r.timestamp_s ELSE w.said_at END,
+           CASE WHEN r.timestamp_s - w.said_at >= 2 OR (w.said = 'WARNING' AND r.level = 'IMMINENT') THEN r.level ELSE w.said END,
+           r.timestamp_s - w.said_at >= 2 OR (w.said = 'WARNING' AND r.level = 'IMMINENT')
+    FROM w JOIN risky r USING (source_id, stable_id, run) WHERE r.n = w.n + 1)
+  SELECT * FROM w),
+warned AS (
+  SELECT r.*, row_number() OVER (PARTITION BY r.source_id, r.stable_id, r.run ORDER BY r.frame_index) AS emission_index
+  FROM risky r JOIN walk w USING (source_id, stable_id, run, n) WHERE w.passed)
+"""
+)
+
+
+@query(
+    "e23_escalation_throttle",
+    WARNED_SQL + "SELECT source_id, level, count(*) AS warnings, max(emission_index) AS most FROM warned GROUP BY ALL",
+)
 def e23(spark, sf):
     """Warnings that pass the repeat interval or escalate."""
     found = HZ.hazard_events(detections(spark, sf), frame_width=640, frame_height=480)
@@ -268,9 +300,19 @@ def e23(spark, sf):
     )
 
 
-@query("i10_hazard_events")
+@query(
+    "i10_hazard_events",
+    WARNED_SQL
+    + f"""SELECT source_id, stable_id, frame_index, timestamp_s, level, round(ttc, 6) AS time_to_contact_s,
+  round(growth_rate, 6) AS growth_rate, area_ratio, in_path, round(sure, 6) AS confidence, emission_index,
+  {norm_sql("class_name")} AS object_type,
+  CASE WHEN (x1 + x2) / 2 < 640 / 3.0::DOUBLE THEN 'LEFT' WHEN (x1 + x2) / 2 > 2 * (640 / 3.0::DOUBLE) THEN 'RIGHT'
+       ELSE 'CENTER' END AS zone, 'HAZARD_DETECTED' AS event_type
+FROM warned""",
+)
 def i10(spark, sf):
-    return HZ.hazard_events(detections(spark, sf), frame_width=640, frame_height=480)
+    found = HZ.hazard_events(detections(spark, sf), frame_width=640, frame_height=480)
+    return found.withColumns({c: F.round(c, 6) for c in ("time_to_contact_s", "growth_rate", "confidence")})
 
 
 @query("i1_stable_ids")

@@ -8,7 +8,8 @@ from trackloom.functions.classes import known_state
 from trackloom.operators import runs as R
 from trackloom.operators.fold import fold, throttle
 from trackloom.operators.keyed import carry_last
-from trackloom.operators.steps import FileClock, LiveClock, RateLimit
+from trackloom.operators.clocks import file_clock, live_clock
+from trackloom.operators.steps import RateLimit
 from workload.registry import query
 from workload.views import detections, events, frames
 
@@ -358,7 +359,27 @@ def e22(spark, sf):
     return passed.select("u", "event_id")
 
 
-@query("e24_file_clock")
+@query(
+    "e24_file_clock",
+    """
+best AS (SELECT source_id, frame_index, max(k) AS k FROM det GROUP BY ALL),
+raw AS (
+  SELECT source_id, frame_index, frame_index / 25::DOUBLE AS nominal,
+         CASE WHEN k % 9 <> 0 AND ((frame_index - k % 4) > 0 OR (frame_index = 0 AND k % 4 = 0))
+              THEN (frame_index - k % 4) * 40 / 1000::DOUBLE END AS p,
+         row_number() OVER (PARTITION BY source_id ORDER BY frame_index) AS n FROM best),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT source_id, frame_index, n, greatest(0, coalesce(p, nominal)) AS told, FALSE AS repaired FROM raw WHERE n = 1
+    UNION ALL
+    SELECT r.source_id, r.frame_index, r.n,
+           CASE WHEN r.p > w.told THEN r.p WHEN r.p IS NULL OR r.frame_index = 0 THEN greatest(w.told, r.nominal)
+                ELSE greatest(r.nominal, w.told + 1 / 25::DOUBLE) END,
+           r.p IS NOT NULL AND r.p <= w.told AND r.frame_index > 0
+    FROM w JOIN raw r ON r.source_id = w.source_id AND r.n = w.n + 1)
+  SELECT * FROM w)
+SELECT source_id, frame_index, told AS timestamp_s, repaired FROM walk""",
+)
 def e24(spark, sf):
     """Positions that stall and step back are repaired to a clock that never does."""
     det = detections(spark, sf)
@@ -371,10 +392,25 @@ def e24(spark, sf):
         ),
         F.lit(25.0).alias("fps"),
     )
-    return fold(raw, ["source_id"], ["frame_index"], FileClock(), span=1024)
+    return file_clock(raw, span=1024)
 
 
-@query("e24_live_clock")
+@query(
+    "e24_live_clock",
+    """
+raw AS (
+  SELECT u, us AS seq, CASE WHEN k % 9 <> 0 AND us / 1e6 - k * 3600 >= 0 THEN us / 1e6 - k * 3600 END AS c, us / 1e6 AS received,
+         greatest(0, us / 1e6 - lag(us / 1e6) OVER (PARTITION BY u ORDER BY us)) AS spent,
+         row_number() OVER (PARTITION BY u ORDER BY us) AS n FROM ev),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT u, seq, n, coalesce(c, received) AS told, FALSE AS repaired FROM raw WHERE n = 1
+    UNION ALL
+    SELECT r.u, r.seq, r.n, CASE WHEN r.c > w.told THEN r.c ELSE w.told + r.spent END, NOT coalesce(r.c > w.told, FALSE)
+    FROM w JOIN raw r ON r.u = w.u AND r.n = w.n + 1)
+  SELECT * FROM w)
+SELECT u, seq, told AS timestamp_s, repaired FROM walk""",
+)
 def e24_live(spark, sf):
     rows = events(spark, sf).select(
         "u",
@@ -383,7 +419,7 @@ def e24_live(spark, sf):
         (F.col("us") / 1e6).alias("received_at_s"),
         (F.col("us") / 1e6 + 0.25).alias("processing_started_at_s"),
     )
-    return fold(rows, ["u"], ["seq"], LiveClock(), span=2**42)
+    return live_clock(rows, ["u"], ["seq"], span=2**42)
 
 
 @query("e25_rate_limit")
