@@ -43,7 +43,7 @@ def sliced(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Re
 
 
 def squeeze(value: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(value)
+    return zstandard.ZstdCompressor(level=3).compress(value)
 
 
 def expand(value: bytes) -> bytes:

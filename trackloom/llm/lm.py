@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import expand, in_blocks, pack, remainder, squeeze, unpack, written
@@ -90,12 +90,12 @@ def window_counts(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by 8; exact to 1e-12 for x >= 1/2."""
+    """Stirling's series after a shift by 8; exact to 1e-11 for x >= 1/2."""
     shift = np.zeros_like(x)
     for i in range(8):
         shift += np.log(x + i)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -216,31 +216,35 @@ def packed_blocks(documents: DataFrame, doc_id: str, text: str, depth: int, bloc
 
 
 def window_rows(blocks: DataFrame) -> DataFrame:
-    """(block, win, n): the distinct windows of every block."""
+    """(block, place, win, n): the distinct windows of every block and where in its list they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, windows, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 win, n = np.cumsum(np.frombuffer(expand(windows), np.int64)), np.frombuffer(expand(counts), np.int64)
-                for a in range(0, len(win), 100_000):
-                    own = win[a : a + 100_000]
-                    yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "win": pa.array(own), "n": pa.array(n[a : a + 100_000])})
+                yield from _listed(block, "win", pa.array(win), n)
 
-    return blocks.select("block", "windows", "n_train").mapInArrow(run, "block bigint, win bigint, n bigint")
+    return blocks.select("block", "windows", "n_train").mapInArrow(run, "block bigint, place int, win bigint, n bigint")
 
 
 def token_rows(blocks: DataFrame) -> DataFrame:
-    """(block, token, n): the distinct tokens of every block."""
+    """(block, place, token, n): the distinct tokens of every block and where in its list they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, n = expand(tokens).split(b"\n"), np.frombuffer(expand(counts), np.int64)
-                for a in range(0, len(n), 100_000):
-                    own = names[a : min(a + 100_000, len(n))]
-                    yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "token": pa.array(own, pa.binary()), "n": pa.array(n[a : a + 100_000])})
+                n = np.frombuffer(expand(counts), np.int64)
+                yield from _listed(block, "token", pa.array(expand(tokens).split(b"\n")[: len(n)], pa.binary()), n)
 
-    return blocks.select("block", "tokens", "token_train").mapInArrow(run, "block bigint, token binary, n bigint")
+    return blocks.select("block", "tokens", "token_train").mapInArrow(run, "block bigint, place int, token binary, n bigint")
+
+
+def _listed(block: int, name: str, items: pa.Array, counts: np.ndarray, step: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(counts), step):
+        n = counts[a : a + step]
+        places = np.arange(a, a + len(n), dtype=np.int32)
+        columns = [pa.array(np.full(len(n), block)), pa.array(places), items.slice(a, step), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "place", name, "n"])
 
 
 def log_probabilities(windows: DataFrame, depth: int) -> DataFrame:
@@ -280,51 +284,72 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
     kind = dict(documents.dtypes)[doc_id]
     blocks = packed_blocks(documents, doc_id, text, depth, block_bytes)
 
-    # Windows and tokens of blocks are dealt out by key once, for the sums and for the way back.
     wins = window_rows(blocks)
     totals = written(wins.groupBy("win").agg(F.sum("n").alias("n")), "windows")
     known = written(log_probabilities(totals, depth), "values")
-    tokens = token_rows(blocks)
-    counts = written(tokens.groupBy("token").agg(F.sum("n").alias("c")), "tokens")
-
-    summed = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    ends = blocks.agg(F.sum("n_texts")).first()[0] or 0
-    n_tokens, n_types = (summed["n"] or 0) + ends, (summed["v"] or 0) + (ends > 0)
-    least = math.log10(n_tokens + n_types + 1)
-    end_value = math.log10(ends + 1) - least
+    back = wins.select("win", "block", "place").join(known.hint("shuffle_hash"), "win").select("block", "place", "value")
 
-    back = wins.select("block", "win").join(known.hint("shuffle_hash"), "win").select("block", "win", F.lit(None).cast("binary").alias("token"), F.col("value").cast("float").alias("value"), F.lit(0).cast("bigint").alias("c"))
-    back = back.unionByName(
-        tokens.select("block", "token").join(counts.hint("shuffle_hash"), "token").select("block", F.lit(-1).cast("bigint").alias("win"), "token", F.lit(0.0).cast("float").alias("value"), "c")
+    # Tokens are dealt out once: each row gets the count over all blocks, and one row of each token
+    # that was learned a half on top, so that they can be counted. Their places are below zero.
+    same = Window.partitionBy("token")
+    counted = token_rows(blocks).select(
+        "block", "place", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("block")).alias("r")
     )
+    new = F.when((F.col("r") == 1) & (F.col("c") > 0), 0.5).otherwise(0.0)
+    back = back.unionByName(counted.select("block", (-1 - F.col("place")).alias("place"), (F.col("c") + new).alias("value")))
+    ends = blocks.agg(F.sum("n_texts")).first()[0] or 0
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_token = right["win"].to_numpy() < 0  # no window is below 0, and a null would turn the column into floats
-        value = right["value"].to_numpy().astype(float)
-        count = dict(zip(right["token"].to_numpy()[is_token], right["c"].to_numpy()[is_token].tolist(), strict=True))
-        base_of = {c: math.log10(c + 1) - least for c in set(count.values())}
-        win, gain = right["win"].to_numpy()[~is_token].astype(np.int64), value[~is_token]
-        order = np.argsort(win)
-        win, gain = win[order], gain[order]
-        out = []
-        for payload in left["payload"]:
-            items = unpack(bytes(payload))
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        place, value = right.column("place").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(place, kind="stable")
+        place, value = place[order], value[order]
+        n_tokens = int(np.searchsorted(place, 0))
+        gain, told = value[n_tokens:], value[:n_tokens][::-1]
+        count = np.floor(told)
+        part_of = np.log10(count + 1).tolist()
+        count = count.astype(np.int64).tolist()
+        rows = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
+        for payload, windows, tokens in zip(*(left.column(c).to_pylist() for c in ("payload", "windows", "tokens")), strict=True):
+            win = np.cumsum(np.frombuffer(expand(windows), np.int64))
+            at = {t: i for i, t in enumerate(expand(tokens).split(b"\n")[: len(count)])}
+            items = unpack(payload)
             texts = [t for _, t in items]
             for a, b in parts(texts):
                 found, starts = text_windows(texts[a:b], depth)
                 sums = np.add.reduceat(gain[np.searchsorted(win, found)], starts)
                 for (name, t), total in zip(items[a:b], sums.tolist(), strict=True):
                     named, held = name.rsplit("|", 1)
-                    own = [count[x] for x in t.split()]
-                    base = math.fsum([base_of[c] for c in own]) + end_value
-                    hits = len(own) - own.count(0) + (ends > 0)
-                    out.append((named[1:] if named else None, held == "1", len(own) + 1, hits, n_tokens, base, total, -total / math.log10(2) / (len(t) + 1)))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    scored = (
-        blocks.select("block", "payload")
+                    own = [at[x] for x in t.split()]
+                    rows["doc_id"].append(named[1:] if named else None)
+                    rows["held_out"].append(held == "1")
+                    rows["n_tokens"].append(len(own) + 1)
+                    rows["n_known"].append(sum(1 for i in own if count[i]) + (ends > 0))
+                    rows["logs"].append(math.fsum([part_of[i] for i in own]) + math.log10(ends + 1))
+                    rows["score"].append(total)
+                    rows["bits_per_byte"].append(-total / math.log10(2) / (len(t) + 1))
+        n = len(rows["doc_id"])
+        # What the block adds to the number of learned tokens and types, on its first row.
+        rows["types"] = [int((told % 1 > 0).sum())] * min(n, 1) + [0] * max(n - 1, 0)
+        return pa.table(
+            {k: pa.array(v, {"doc_id": pa.string(), "held_out": pa.bool_()}.get(k, pa.float64() if k in ("logs", "score", "bits_per_byte") else pa.int64())) for k, v in rows.items()}
+        )
+
+    scored = written(
+        blocks.select("block", "payload", "windows", "tokens")
         .groupBy("block")
         .cogroup(back.groupBy("block"))
-        .applyInPandas(run, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
+        .applyInArrow(run, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, bits_per_byte double, types bigint"),
+        "scored",
+    )
+    learned = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"), F.sum("types").alias("v")).first()
+    n_tokens, n_types = learned["n"] or 0, (learned["v"] or 0) + (ends > 0)
+    return scored.select(
+        F.col("doc_id").cast(kind).alias(doc_id),
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(n_tokens).cast("bigint").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(n_tokens + n_types + 1)).alias("base_score"),
+        "score",
+        "bits_per_byte",
     )
-    return scored.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", doc_id)
