@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.functions import fixed
 from trackloom.functions.classes import norm_state, object_family
 from trackloom.functions.geometry import is_finite
 from trackloom.functions.text import is_bus_approach_message, normalised_edit_distance
-from trackloom.session import cut
+from trackloom.operators.keyed import carry_sum, previous_row
 
 SOURCE = ("source_id",)
 
@@ -67,56 +69,56 @@ def match_within(
 ) -> DataFrame:
     """One-to-one matches of frames within a tolerance, nearest pairs first.
 
-    Ties go to the smaller truth id, then the smaller prediction id. Pairs are
-    formed inside buckets of the tolerance only. Rounds keep every pair that
-    is the best of both its ends; what is left is matched again until nothing
-    is. The result is that of taking all pairs in order of distance.
+    Ties go to the smaller truth id, then the smaller prediction id. Frames of a
+    key fall into islands wherever neighbours are farther apart than the
+    tolerance; no pair crosses a gap, so islands are matched apart, each in one
+    pass over its pairs in order of distance. No job runs while the plan is
+    built, and there are no rounds.
     """
     keys = list(keys)
-    width = max(1, tolerance)
-    t = truth.select(
-        *keys, truth_id, truth_frame, F.floor(F.col(truth_frame) / width).alias("_bucket")
-    )
-    bucket = F.floor(F.col(predicted_frame) / width)
-    p = predicted.select(
-        *keys,
-        predicted_id,
-        predicted_frame,
-        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"),
+    kinds = truth.schema[truth_id].dataType, predicted.schema[predicted_id].dataType
+    # a placeholder, never read, keeps whole numbers whole in pandas
+    blank = [F.lit("0").cast(kind) for kind in kinds]
+    ends = (
+        truth.select(*keys, F.col(truth_frame).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col(truth_id).alias("_t"), blank[1].alias("_p"))
+        .unionByName(
+            predicted.select(*keys, F.col(predicted_frame).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), blank[0].alias("_t"), F.col(predicted_id).alias("_p"))
+        )
+        .filter("_at is not null and _t is not null and _p is not null")
     )
-    distance = F.abs(F.col(truth_frame) - F.col(predicted_frame))
-    pairs = cut(
-        t.join(p, [*keys, "_bucket"])
-        .withColumn("distance", distance)
-        .filter(F.col("distance") <= tolerance)
-        .drop("_bucket")
+    order = ["_at", "_kind", "_t", "_p"]
+    placed = previous_row(ends, keys, order, {"_before": "_at"})
+    far = F.coalesce(F.col("_at") - F.col("_before") > tolerance, F.lit(True)).cast("int")
+    placed = carry_sum(placed, keys, order, {"_island": far})
+    schema = T.StructType(
+        [
+            *[ends.schema[k] for k in keys],
+            T.StructField(truth_id, kinds[0]),
+            T.StructField(predicted_id, kinds[1]),
+            T.StructField(truth_frame, truth.schema[truth_frame].dataType),
+            T.StructField(predicted_frame, predicted.schema[predicted_frame].dataType),
+            T.StructField("distance", T.LongType()),
+        ]
     )
-    matches = None
-    while not pairs.isEmpty():
-        by_truth = pairs.groupBy(*keys, truth_id).agg(
-            F.min(F.struct("distance", predicted_id)).alias("_t")
-        )
-        by_prediction = pairs.groupBy(*keys, predicted_id).agg(
-            F.min(F.struct("distance", truth_id)).alias("_p")
-        )
-        best = cut(
-            pairs.join(by_truth, [*keys, truth_id])
-            .join(by_prediction, [*keys, predicted_id])
-            .filter(
-                (F.col(f"_t.{predicted_id}") == F.col(predicted_id))
-                & (F.col(f"_p.{truth_id}") == F.col(truth_id))
-            )
-            .select(*keys, truth_id, predicted_id, truth_frame, predicted_frame, "distance")
-        )
-        matches = best if matches is None else matches.unionByName(best)
-        pairs = cut(
-            pairs.join(best.select(*keys, truth_id), [*keys, truth_id], "left_anti").join(
-                best.select(*keys, predicted_id), [*keys, predicted_id], "left_anti"
-            )
-        )
-    if matches is None:
-        return pairs.select(*keys, truth_id, predicted_id, truth_frame, predicted_frame, "distance")
-    return matches
+    names = [f.name for f in schema]
+
+    def match(key: tuple, island: pd.DataFrame) -> pd.DataFrame:
+        left = island[island["_kind"] == 0].sort_values(["_at", "_t"])
+        right = island[island["_kind"] == 1].sort_values(["_at", "_p"])
+        p_at, p_id = right["_at"].to_numpy(), right["_p"].to_numpy()
+        pairs = []
+        for t, at in zip(left["_t"], left["_at"]):
+            near = slice(p_at.searchsorted(at - tolerance), p_at.searchsorted(at + tolerance, "right"))
+            pairs += [(abs(int(f) - at), t, p, at, int(f)) for p, f in zip(p_id[near], p_at[near])]
+        used_t, used_p, rows = set(), set(), []
+        for distance, t, p, t_at, p_at_ in sorted(pairs):
+            if t not in used_t and p not in used_p:
+                used_t.add(t)
+                used_p.add(p)
+                rows.append((*key[: len(keys)], t, p, t_at, p_at_, distance))
+        return pd.DataFrame(rows, columns=names)
+
+    return placed.groupBy(*keys, "_island").applyInPandas(match, schema)
 
 
 def duplicate_count(rows: DataFrame, signature: Sequence[str], keys: Sequence[str] = SOURCE):
@@ -310,11 +312,13 @@ def forbidden_narrations(
     ``rules``: kind (phrase or pattern) and rule text. Phrases match anywhere
     whatever their case, patterns as regular expressions.
     """
-    met = narrations.join(rules, list(keys)).filter(
+    # A faulty pattern is taken literally; each distinct one is looked at once.
+    patterns = rules.filter("kind <> 'phrase'").select("rule").distinct().withColumn("_pattern", _valid_patterns(F.col("rule")))
+    met = narrations.join(rules.join(patterns, "rule", "left"), list(keys)).filter(
         F.when(
             F.col("kind") == "phrase",
             (F.col("rule") != "") & F.lower("message").contains(F.lower("rule")),
-        ).otherwise(F.expr("message rlike concat('(?i)', rule)"))
+        ).otherwise(F.expr("message rlike concat('(?i)', _pattern)"))
     )
     return met.groupBy(*keys, "kind", "rule").agg(F.count(F.lit(1)).alias("violations"))
 
@@ -330,6 +334,11 @@ def valid_pattern(pattern: str) -> str:
     return pattern
 
 
+@F.pandas_udf(T.StringType())
+def _valid_patterns(rules: pd.Series) -> pd.Series:
+    return rules.map(valid_pattern)
+
+
 def is_approach(message: Column) -> Column:
     return is_bus_approach_message(message)
 
@@ -337,12 +346,32 @@ def is_approach(message: Column) -> Column:
 def interpolated_percentiles(
     df: DataFrame, value: str, *, keys: Sequence[str] = SOURCE, points=(0.5, 0.95)
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    wanted = F.array(*[F.lit(p) for p in points])
-    return (
-        df.groupBy(*keys)
-        .agg(F.percentile(value, wanted).alias("_p"))
-        .select(*keys, *[F.get("_p", F.lit(i)).alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
+    """Exact percentiles with linear interpolation.
+
+    Equal values are counted first; the two values a percentile lies between
+    follow from running counts over the distinct values, which are cut into
+    spans of their range, so no group has to fit into one task.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    low, high = counted.agg(F.min("_v"), F.max("_v")).first()
+    span = max(((high or 0.0) - (low or 0.0)) / 256, 1e-9)
+    running = carry_sum(counted, keys, ["_v"], {"_upto": F.col("_n")}, span=span)
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = running.join(totals, keys)
+    picks = []
+    for i, p in enumerate(points):
+        place = F.lit(float(p)) * (F.col("_all") - 1)
+        for name, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
+            held = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+            picks.append(F.max(F.when(held, F.col("_v"))).alias(f"_{name}{i}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"_w{i}"))
+    return ranked.groupBy(*keys).agg(*picks).select(
+        *keys,
+        *[
+            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}")).alias(f"p{round(p * 100)}")
+            for i, p in enumerate(points)
+        ],
     )
 
 

@@ -189,6 +189,7 @@ def safety_constraints(
     sources: DataFrame,
     counts: DataFrame,
     forbidden: DataFrame | None = None,
+    rules: DataFrame | None = None,
     *,
     keys: Sequence[str] = SOURCE,
 ) -> DataFrame:
@@ -196,7 +197,8 @@ def safety_constraints(
 
     ``sources``: video_id, is_reviewed, maximum_duplicate_events. ``forbidden``
     is the output of :func:`trackloom.operators.scoring.forbidden_narrations`
-    for sources that state any rule.
+    and ``rules`` its rule table: every source that states a rule gets a row,
+    also without a violation.
     """
     keys = list(keys)
     name = norm_token(F.col("video_id"))
@@ -218,6 +220,8 @@ def safety_constraints(
     )
     if forbidden is not None:
         said = forbidden.groupBy(*keys).agg(F.sum("violations").cast("bigint").alias("observed"))
+        ruled = (forbidden if rules is None else rules).select(*keys).distinct()
+        said = ruled.join(said, keys, "left").withColumn("observed", F.coalesce("observed", F.lit(0).cast("bigint")))
         judged = judged.unionByName(
             sources.join(said, keys).select(
                 *keys,

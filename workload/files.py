@@ -178,7 +178,7 @@ def a7(spark, sf):
 @query(
     "a9_label_files",
     """SELECT 'i' || c_custkey // 3 AS stem, count(*) AS lines FROM customer
-       JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0
+       JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0
        GROUP BY 1""",
 )
 def a9(spark, sf):
@@ -194,7 +194,7 @@ def a9(spark, sf):
 def converted_labels(spark, sf):
     boxes, classes = labelled_boxes(spark, sf)
     key = F.col("c_custkey")
-    placed = D.map_labels(boxes, classes).filter("c_custkey % 7 <> 0 and class_id is not null").select(
+    placed = D.map_labels(boxes, classes).filter("class_id is not null").select(
         F.concat(F.lit("i"), F.floor(key / 3).cast("string"), F.lit(".jpg")).alias("name"),
         key.alias("pos"),
         "label",
@@ -233,12 +233,17 @@ def a10(spark, sf):
     ).drop("states")
 
 
-@query("a12_verify_assets")
+@query(
+    "a12_verify_assets",
+    """
+stems AS (SELECT DISTINCT c_custkey // 3 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0)
+SELECT ['unexpected_size', 'sha1_mismatch', 'ok'][n % 3 + 1] AS status, count(*) AS files FROM stems GROUP BY 1""",
+)
 def a12(spark, sf):
     path = scratch_path(spark, "labels")
     FI.write_label_files(converted_labels(spark, sf), path)
     found = FI.checksum_assets(spark, path)
-    turn = F.crc32(F.regexp_extract("path", "stem=([^/]*)", 1)) % 3
+    turn = F.regexp_extract("path", "stem=i([0-9]+)", 1).cast("int") % 3
     manifest = found.select(
         "path",
         (F.col("length") + F.when(turn == 0, 10_000).otherwise(100)).alias("expected_size_bytes"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import classes as C
@@ -108,7 +109,7 @@ def c3(spark, sf):
     """
 images AS (SELECT DISTINCT 'img' || o_orderkey || '.jpg' AS name FROM orders),
 files AS (SELECT '/a/' || l_suppkey || '/img' || l_orderkey || '.jpg' AS path,
-                 'img' || l_orderkey || '.jpg' AS name FROM lineitem WHERE l_linenumber = 1)
+                 'img' || l_orderkey || '.jpg' AS name FROM lineitem)
 SELECT 'matched' AS kind, name, count(*) AS n FROM images JOIN files USING (name) GROUP BY 2
 UNION ALL SELECT 'missing', name, count(*) FROM images ANTI JOIN files USING (name) GROUP BY 2
 UNION ALL SELECT 'ambiguous', name, count(*) FROM files GROUP BY 2 HAVING count(*) > 1""",
@@ -121,7 +122,6 @@ def c4(spark, sf):
     )
     files = (
         table(spark, sf, "lineitem")
-        .filter("l_linenumber = 1")
         .select(
             F.concat(
                 F.lit("/a/"),
@@ -282,13 +282,29 @@ def truth_and_predictions(spark, sf):
     return truth, predicted
 
 
-@query("c11_match_transitions")
+def matched_sql(tolerance: int, keys: str) -> str:
+    """Pairs within the tolerance, taken one by one from a list in order of distance."""
+    return f"""
+tp AS (
+  SELECT {keys}, t.event_id AS t, p.event_id AS p, t.frame_index AS tf, p.frame_index AS pf, abs(t.frame_index - p.frame_index) AS d
+  FROM det t JOIN det p USING ({keys}) WHERE t.event_id % 2 = 0 AND p.event_id % 2 = 1 AND abs(t.frame_index - p.frame_index) <= {tolerance}),
+todo AS (SELECT {keys}, list({{'d': d, 't': t, 'p': p, 'tf': tf, 'pf': pf}} ORDER BY d, t, p) AS l FROM tp GROUP BY {keys}),
+taken AS (
+  WITH RECURSIVE w AS (
+    SELECT {keys}, l[1] AS best, list_filter(l, lambda x: x.t <> l[1].t AND x.p <> l[1].p) AS l FROM todo
+    UNION ALL
+    SELECT {keys}, l[1], list_filter(l, lambda x: x.t <> l[1].t AND x.p <> l[1].p) FROM w WHERE len(l) > 0)
+  SELECT {keys}, best.t AS truth_id, best.p AS predicted_id, best.tf AS truth_frame, best.pf AS predicted_frame, best.d AS distance FROM w)
+"""
+
+
+@query("c11_match_transitions", matched_sql(3, "source_id, state") + "SELECT * FROM taken")
 def c11(spark, sf):
     truth, predicted = truth_and_predictions(spark, sf)
     return K.match_within(truth, predicted, tolerance=3, keys=["source_id", "state"])
 
 
-@query("c12_match_frames")
+@query("c12_match_frames", matched_sql(2, "source_id") + "SELECT source_id, count(*) AS matched FROM taken GROUP BY 1")
 def c12(spark, sf):
     truth, predicted = truth_and_predictions(spark, sf)
     matched = K.match_within(truth, predicted, tolerance=2)
@@ -447,22 +463,23 @@ def c17(spark, sf):
 @query(
     "c18_forbidden_phrases",
     """
-said AS (SELECT conv_id % 10 AS source_id, text AS message FROM conversations),
-rules AS (SELECT DISTINCT item_id % 10 AS source_id, left(text, 3) AS rule FROM benchmark)
+said AS (SELECT conv_id AS source_id, text AS message FROM conversations),
+items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS m, text FROM benchmark),
+rules AS (SELECT DISTINCT source_id, unnest(string_split(i.text, ' ')) AS rule
+          FROM (SELECT DISTINCT conv_id AS source_id FROM conversations) JOIN items i ON i.n = source_id % i.m)
 SELECT source_id, rule, count(*) AS violations FROM said JOIN rules USING (source_id)
 WHERE rule <> '' AND contains(lower(message), lower(rule)) GROUP BY 1, 2""",
 )
 def c18(spark, sf):
-    said = table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 10).alias("source_id"), F.col("text").alias("message")
-    )
+    """Every conversation forbids the words of one benchmark passage."""
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("text").alias("message"))
+    items = table(spark, sf, "benchmark")
+    numbered = items.withColumn("n", F.row_number().over(Window.orderBy("item_id")) - 1).join(items.agg(F.count(F.lit(1)).alias("m")))
     rules = (
-        table(spark, sf, "benchmark")
-        .select(
-            (F.col("item_id") % 10).alias("source_id"),
-            F.lit("phrase").alias("kind"),
-            F.left("text", F.lit(3)).alias("rule"),
-        )
+        said.select("source_id")
+        .distinct()
+        .join(numbered, F.col("n") == F.col("source_id") % F.col("m"))
+        .select("source_id", F.lit("phrase").alias("kind"), F.explode(F.split("text", " ")).alias("rule"))
         .distinct()
     )
     return K.forbidden_narrations(said, rules).drop("kind")
@@ -471,14 +488,11 @@ def c18(spark, sf):
 @query(
     "c18_forbidden_patterns",
     """
-said AS (SELECT conv_id % 10 AS source_id, text AS message FROM conversations)
-SELECT source_id, count(*) AS violations FROM said
-WHERE regexp_matches(message, '(?i)\\b(the|les)\\b') GROUP BY 1""",
+SELECT conv_id AS source_id, count(*) AS violations FROM conversations
+WHERE regexp_matches(text, '(?i)\\b(the|les)\\b') GROUP BY 1""",
 )
 def c18_patterns(spark, sf):
-    said = table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 10).alias("source_id"), F.col("text").alias("message")
-    )
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("text").alias("message"))
     rules = said.select("source_id").distinct().select(
         "source_id", F.lit("pattern").alias("kind"), F.lit(r"\b(the|les)\b").alias("rule")
     )

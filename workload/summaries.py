@@ -13,7 +13,7 @@ from trackloom.operators import scoring as K
 from trackloom.operators import screens as SC
 from trackloom.operators import summary as SU
 from trackloom.plans import evaluation as EV
-from workload.joins import labelled_boxes, truth_and_predictions, BOXES_SQL
+from workload.joins import BOXES_SQL, labelled_boxes, matched_sql, truth_and_predictions
 from workload.registry import query
 from workload.scalars import COLOURS_SQL, NAMES_SQL, family_sql, names, norm_sql, sql_analyzer, sql_list
 from workload.views import _pick, detections, events, frames, reads, table
@@ -242,7 +242,12 @@ def d9(spark, sf):
     )
 
 
-@query("d10_mean_delay")
+@query(
+    "d10_mean_delay",
+    matched_sql(3, "source_id, state")
+    + """SELECT source_id, count(*) AS matches, avg(predicted_frame - truth_frame) AS delay_frames,
+  avg(round((predicted_frame - truth_frame) / 30::DOUBLE * 1000, 3)) AS delay_ms FROM taken GROUP BY 1""",
+)
 def d10(spark, sf):
     truth, predicted = truth_and_predictions(spark, sf)
     matches = K.match_within(truth, predicted, tolerance=3, keys=["source_id", "state"])
@@ -581,14 +586,14 @@ def f3(spark, sf):
 @query(
     "f4_most_urgent_first",
     """
-risk AS (SELECT source_id, frame_index, stable_id, CAST(k AS DOUBLE) / 10 AS ttc FROM det WHERE k < 35)
+risk AS (SELECT source_id, frame_index, stable_id, CAST(k AS DOUBLE) / 10 AS ttc FROM det)
 SELECT source_id, frame_index, stable_id, row_number() OVER (PARTITION BY source_id, frame_index
   ORDER BY ttc, stable_id) AS urgency_rank FROM risk""",
 )
 def f4(spark, sf):
     from trackloom.operators.tracks import most_urgent_first
 
-    risk = detections(spark, sf).filter("k < 35").select(
+    risk = detections(spark, sf).select(
         "source_id", "frame_index", "stable_id", (F.col("k") / 10.0).alias("time_to_contact_s")
     )
     ranked = most_urgent_first(risk)
@@ -682,12 +687,12 @@ def f9(spark, sf):
 
 @query(
     "g1_union_event_streams",
-    """SELECT source_id, frame_index, 0 AS phase, 'HAZARD_DETECTED' AS event_type, k AS urgency FROM det WHERE k < 10
+    """SELECT source_id, frame_index, 0 AS phase, 'HAZARD_DETECTED' AS event_type, k AS urgency FROM det
        UNION ALL SELECT source_id, frame_index, 1, upper(event_type), NULL FROM det WHERE event_type = 'click'""",
 )
 def g1(spark, sf):
     det = detections(spark, sf)
-    hazards = det.filter("k < 10").select(
+    hazards = det.select(
         "source_id", "frame_index", F.lit(0).alias("phase"), F.lit("HAZARD_DETECTED").alias("event_type"), F.col("k").alias("urgency")
     )
     others = det.filter("event_type = 'click'").select(
