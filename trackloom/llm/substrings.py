@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -168,10 +169,11 @@ def repeated_digests(blocks: DataFrame, kind: str) -> DataFrame:
 
 
 def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per repeated passage: doc_id, start, end (code points), n_words, n_docs, first_doc_id, kept, passage.
+    """Repeated passages: doc_id, start, end (code points), n_words, n_docs, first_doc_id, kept, passage.
 
-    ``n_docs`` is the least number of documents that share a chunk of it, ``first_doc_id`` the least
-    id that has its first chunk, and ``kept`` says that this is that document.
+    A passage comes in parts: a part is ``kept`` where this is the document with the least id that
+    has its chunks, ``first_doc_id`` is that of its first chunk, and ``n_docs`` is how many documents
+    share the chunk that most have.
     """
     kind = dict(documents.dtypes)[doc_id]
     if batch_type(kind) == pa.string() and kind != "string":
@@ -186,22 +188,22 @@ def passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         for payload, ids in zip(left["payload"], left["ids"], strict=True) if known else ():
             texts = [t for _, t in unpack(bytes(payload))]
             for name, body, ends in zip(ids, texts, chunk_ends(texts), strict=True):
-                at, run_start, told = 0, None, []
+                at, told = 0, []
                 for e, d in zip([*ends, None], [*digests(body, ends), None], strict=True):
                     hit = known.get(d)
                     if hit:
-                        run_start = at if run_start is None else run_start
-                        told.append(hit)
+                        told.append((at, e, *hit))
                     elif told:
-                        while run_start < at and body[run_start] & 0xC0 == 0x80:  # a character that began before is left out
-                            run_start += 1
-                        part = body[run_start:at].decode("utf-8", "ignore")
-                        words = len(part.split())
-                        if words >= least_words:
-                            begin = len(body[:run_start].decode("utf-8", "ignore"))
-                            first = told[0][1]
-                            out.append((name, begin, begin + len(part), words, min(n for n, _ in told), first, first == name, part))
-                        run_start, told = None, []
+                        if len(body[told[0][0] : told[-1][1]].decode("utf-8", "ignore").split()) >= least_words:
+                            for kept, part in groupby(told, key=lambda c: c[3] == name):
+                                own = list(part)
+                                begin, end = own[0][0], own[-1][1]
+                                while begin < end and body[begin] & 0xC0 == 0x80:  # a character that began before is left out
+                                    begin += 1
+                                text_ = body[begin:end].decode("utf-8", "ignore")
+                                first = len(body[:begin].decode("utf-8", "ignore"))
+                                out.append((name, first, first + len(text_), len(text_.split()), max(c[2] for c in own), own[0][3], kept, text_))
+                        told = []
                     at = e
         return pd.DataFrame(out, columns=columns)
 
