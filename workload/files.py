@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import datasets as D
 from trackloom.session import scratch_path
 from trackloom.sources import files as FI
-from workload.joins import labelled_boxes
+from workload.joins import BOXES_SQL, labelled_boxes
 from workload.registry import query
 from workload.scenes import annotation_documents
 from workload.views import detections, table
@@ -177,9 +177,7 @@ def a7(spark, sf):
 
 @query(
     "a9_label_files",
-    """SELECT 'i' || c_custkey // 3 AS stem, count(*) AS lines FROM customer
-       JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0
-       GROUP BY 1""",
+    BOXES_SQL + "SELECT 'i' || c_custkey // 3 AS stem, count(*) AS lines FROM boxes JOIN classes USING (label) GROUP BY 1",
 )
 def a9(spark, sf):
     path = scratch_path(spark, "labels")
@@ -235,8 +233,8 @@ def a10(spark, sf):
 
 @query(
     "a12_verify_assets",
-    """
-stems AS (SELECT DISTINCT c_custkey // 3 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0)
+    BOXES_SQL
+    + """, stems AS (SELECT DISTINCT c_custkey // 3 AS n FROM boxes JOIN classes USING (label))
 SELECT ['unexpected_size', 'sha1_mismatch', 'ok'][n % 3 + 1] AS status, count(*) AS files FROM stems GROUP BY 1""",
 )
 def a12(spark, sf):
