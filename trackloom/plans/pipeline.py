@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import fixed
@@ -25,6 +25,7 @@ from trackloom.operators import narration as NA
 from trackloom.operators import runs as R
 from trackloom.operators import scene as S
 from trackloom.operators import tracks as T
+from trackloom.operators.keyed import previous_row
 from trackloom.operators.runs import OBJECT
 from trackloom.session import cut
 
@@ -46,6 +47,8 @@ class Settings:
     narration_cooldown_s: float = 5.0
     narration_capacity: int = 32
     presence_types: tuple[str, ...] = field(default=())
+    #: a source silent for longer starts anew: identities, states and messages
+    maximum_gap_s: float = 2.0
 
 
 @dataclass
@@ -157,16 +160,60 @@ def _vehicles(det: DataFrame) -> DataFrame:
     )
 
 
+def dense_frames(det: DataFrame) -> DataFrame:
+    """Every frame between the first and last of a source; frames without detections lie evenly in time."""
+    seen = det.groupBy("source_id", "frame_index").agg(F.min("timestamp_s").alias("timestamp_s"))
+    following = previous_row(seen, ["source_id"], ["frame_index"], {"_frame": "frame_index", "_time": "timestamp_s"}, reverse=True)
+    last = F.coalesce(F.col("_frame") - 1, F.col("frame_index"))
+    step = F.coalesce(F.try_divide(F.col("_time") - F.col("timestamp_s"), F.col("_frame") - F.col("frame_index")), F.lit(0.0))
+    spread = following.select(
+        "source_id", F.col("frame_index").alias("_from"), "timestamp_s", step.alias("_step"), F.explode(F.sequence("frame_index", last)).alias("frame_index")
+    )
+    return spread.select("source_id", "frame_index", (F.col("timestamp_s") + F.col("_step") * (F.col("frame_index") - F.col("_from"))).alias("timestamp_s"))
+
+
+def _in_sessions(det: DataFrame, frames: DataFrame, maximum_gap_s: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detections and frames keyed by session, a source between two long gaps, and the table of sessions."""
+    epochs = R.gap_epochs(frames.select("source_id", "frame_index", "timestamp_s"), order=["timestamp_s", "frame_index"], maximum_gap=maximum_gap_s)
+    epochs = cut(epochs.withColumn("_session", F.concat_ws("#", F.col("source_id").cast("string"), F.col("epoch").cast("string"))))
+    named = det.join(epochs.select("source_id", "frame_index", "_session"), ["source_id", "frame_index"])
+    sessions = epochs.select("_session", "source_id", "epoch").distinct()
+    return (
+        named.withColumn("source_id", F.col("_session")).drop("_session"),
+        epochs.select(F.col("_session").alias("source_id"), "frame_index", "timestamp_s"),
+        sessions,
+    )
+
+
+def _by_source(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    rest = [c for c in df.columns if c != "source_id"]
+    return df.withColumnRenamed("source_id", "_session").join(sessions, "_session").select("source_id", "epoch", *rest)
+
+
+def arrival_order(events: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Add ``seq``: events of a frame by phase, then by their detections, then by the age of their object.
+
+    Objects without a detection in the frame, such as those that left, come last.
+    """
+    at = tracked.groupBy(*KEY, "frame_index").agg(F.min("det_index").alias("_det"))
+    number = F.regexp_extract("stable_id", "([0-9]+)$", 1).try_cast("bigint")
+    order = Window.partitionBy("source_id", "frame_index").orderBy("phase", F.col("_det").asc_nulls_last(), number, "event_type")
+    return events.join(at, [*KEY, "frame_index"], "left").withColumn("seq", F.row_number().over(order).cast("bigint")).drop("_det")
+
+
 def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataFrame | None = None) -> Outcome:
     """Identity, analysis, events, risk and messages of any number of sources.
 
     ``det`` are raw detections with an observed signal ``state`` and its
     ``evidence`` where a classifier ran. ``frames`` lists every processed frame
-    (source_id, frame_index, timestamp_s), empty ones included.
+    (source_id, frame_index, timestamp_s), empty ones included; without it every
+    frame between a source's first and last counts as processed. All results
+    have the ``epoch`` of their source; ids are unique within one. Jobs run
+    while the plan is built.
     """
     settings = settings or Settings()
-    if frames is None:
-        frames = det.select("source_id", "frame_index", "timestamp_s").distinct()
+    det, frames, sessions = _in_sessions(det, dense_frames(det) if frames is None else frames, settings.maximum_gap_s)
+    det = cut(det)
     others = det.filter(~norm_class(F.col("class_name")).isin(*fixed.SIGNAL_TYPES))
     chosen = T.select_targets(det).select("source_id", "frame_index", "det_index")
     signals = T.signal_detections(det).join(
@@ -225,12 +272,10 @@ def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataF
     )
     clock = frames.select("source_id", "frame_index", F.col("timestamp_s").alias("now_s"))
     events = risky.unionByName(scene, allowMissingColumns=True).join(
-        clock, ["source_id", "frame_index"]
-    )
-    ordered = events.withColumn(
-        "seq", F.xxhash64("stable_id", "event_type", "frame_index", "phase")
+        clock, ["source_id", "frame_index"], "left"
     )
-    candidates = NA.narratable(cut(ordered), presence_types=settings.presence_types)
+    events = cut(arrival_order(events, tracked))
+    candidates = NA.narratable(events, presence_types=settings.presence_types)
     narrations = NA.narration_queue(
         candidates,
         clock,
@@ -239,4 +284,4 @@ def run_pipeline(det: DataFrame, settings: Settings | None = None, frames: DataF
         default_ttl_s=settings.narration_ttl_s,
         ttl_by_event_type={"HAZARD_DETECTED": settings.hazard_ttl_s},
     )
-    return Outcome(tracked, results, hazards, events, narrations)
+    return Outcome(*(_by_source(t, sessions) for t in (tracked, results, hazards, events, narrations)))
