@@ -414,7 +414,20 @@ def i6(spark, sf):
     )
 
 
-@query("i6_due_reads")
+@query(
+    "i6_due_reads",
+    """
+o AS (SELECT source_id, stable_id, frame_index AS f FROM det),
+due AS (
+  WITH RECURSIVE hop AS (
+    SELECT source_id, stable_id, min(f) AS f FROM o GROUP BY ALL
+    UNION ALL
+    SELECT h.source_id, h.stable_id, n.f
+    FROM hop h, LATERAL (SELECT min(f) AS f FROM o WHERE o.source_id = h.source_id AND o.stable_id = h.stable_id AND o.f >= h.f + 7) n
+    WHERE n.f IS NOT NULL)
+  SELECT * FROM hop)
+SELECT source_id, stable_id, f AS frame_index FROM due""",
+)
 def i6_due(spark, sf):
     """Frames on which a route is read: every seventh frame from the first one."""
     return MO.due_reads(detections(spark, sf).select(*KEY, "frame_index"), interval=7, span=20)

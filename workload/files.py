@@ -9,6 +9,7 @@ from trackloom.session import scratch_path
 from trackloom.sources import files as FI
 from workload.joins import BOXES_SQL, labelled_boxes
 from workload.registry import query
+from workload.scalars import CRC_TABLE_SQL, crc32_sql
 from workload.scenes import annotation_documents
 from workload.views import detections, table
 
@@ -207,7 +208,13 @@ def converted_labels(spark, sf):
     return D.convert_boxes(placed, val_fraction=0.1)
 
 
-@query("a8_list_assets")
+@query(
+    "a8_list_assets",
+    BOXES_SQL
+    + f""", {CRC_TABLE_SQL}, stems AS (SELECT DISTINCT 'i' || c_custkey // 3 AS stem FROM boxes JOIN classes USING (label))
+SELECT CASE WHEN {crc32_sql("stem")} % 1000 < 100 THEN 'val' ELSE 'train' END AS split, count(*) AS files
+FROM stems, crc_table GROUP BY 1""",
+)
 def a8(spark, sf):
     path = scratch_path(spark, "labels")
     FI.write_label_files(converted_labels(spark, sf), path)

@@ -422,7 +422,21 @@ def e24_live(spark, sf):
     return live_clock(rows, ["u"], ["seq"], span=2**42)
 
 
-@query("e25_rate_limit")
+@query(
+    "e25_rate_limit",
+    """
+raw AS (
+  SELECT u, us / 3.24e10 AS came, event_id, row_number() OVER (PARTITION BY u ORDER BY us / 3.24e10, event_id) AS n FROM ev),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT u, n, event_id, came, TRUE AS accepted, [came] AS held FROM raw WHERE n = 1
+    UNION ALL
+    SELECT u, n, event_id, came, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, came) ELSE live END
+    FROM (SELECT r.u, r.n, r.event_id, r.came, list_filter(w.held, lambda h: r.came - h < 1) AS live
+          FROM w JOIN raw r ON r.u = w.u AND r.n = w.n + 1))
+  SELECT * FROM w)
+SELECT u, event_id AS seq, came AS arrived_s, accepted FROM walk""",
+)
 def e25(spark, sf):
     """At most two events of a user within any nine hours."""
     rows = events(spark, sf).select(

@@ -674,7 +674,26 @@ def h12(spark, sf):
     )
 
 
-@query("h13_hash_split")
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text by its table of 256 remainders; the common table ``crc_table`` is needed."""
+    return (
+        f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, strlen({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+    )
+
+
+CRC_TABLE_SQL = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t)
+"""
+
+
+@query(
+    "h13_hash_split",
+    CRC_TABLE_SQL
+    + f"SELECT page_id, CASE WHEN {crc32_sql('url')} % 1000 < 100 THEN 'val' ELSE 'train' END AS split FROM pages, crc_table",
+)
 def h13(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id", X.hash_split(F.col("url"), "train", 0.1).alias("split")
