@@ -186,8 +186,9 @@ def linked(keys: list[np.ndarray], weights: list[np.ndarray], least: float) -> l
     row, column = row[shared], number[column[shared]]
     value = (np.concatenate(weights) / np.repeat(mass, sizes))[shared]
     overlap, part = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
-    width = max(1, (1 << 24) // n)
-    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+    columns = int(number[-1]) + 1 if len(number) else 0
+    width = max(1, min(columns, (1 << 24) // n))
+    for a in range(0, columns, width):
         own = (column >= a) & (column < a + width)
         held = np.zeros((n, width), np.float32)
         held[row[own], column[own] - a] = 1
