@@ -39,8 +39,12 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def segments_for(n_codes: int, bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment; widths are about log2 of the number of codes, 24 at most."""
-    width = min(24, max(4, round(math.log2(max(n_codes, 2)))))
+    """(first bit, width) of each segment, about log2 of the number of codes less 2.5, 24 at most.
+
+    A value then has about six codes: fewer look-ups than with one code a value, and most of the
+    codes met are dropped by the bound inside the join.
+    """
+    width = min(24, max(4, math.log2(max(n_codes, 2)) - 2.5))
     count = max(1, round(bits / width))
     edges = [round(bits * i / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -60,8 +64,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
         one = codes.select(F.lit(number).alias("part"), segment(F.col("code"), first, width).alias("value"), "code")
         index = one if index is None else index.union(one)
     index = written(index, "index")
-    wanted = written(queries.where("code IS NOT NULL").select(F.col("code").alias("query")).distinct(), "queries")
-    open_, best, done = wanted, None, None
+    # bound: the kth distance found so far, beyond which a code cannot be among the k nearest
+    open_ = written(queries.where("code IS NOT NULL").select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(bits)), "queries")
+    best, done = None, None
     spark = rows.sparkSession
     widest = max(w for _, w in parts)
     for radius in range(widest + 1):
@@ -70,18 +75,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
             # Every way to flip `radius` of `width` bits: a fixed table, whatever the data.
             masks = spark.createDataFrame([(sum(1 << b for b in c),) for c in combinations(range(width), radius)], "mask bigint")
             value = segment(F.col("query"), first, width).bitwiseXOR(F.col("mask"))
-            one = open_.join(F.broadcast(masks)).select("query", F.lit(number).alias("part"), value.alias("value"))
+            one = open_.join(F.broadcast(masks)).select("query", "bound", F.lit(number).alias("part"), value.alias("value"))
             probes = one if probes is None else probes.union(one)
-        met = probes.join(index, ["part", "value"]).select("query", "code").distinct()
+        near = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))) <= F.col("bound")
+        met = probes.join(index, (probes["part"] == index["part"]) & (probes["value"] == index["value"]) & near)
+        met = met.select("query", "code").distinct()
         met = met.select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         every = met if best is None else met.union(best.join(open_, "query", "left_semi")).distinct()
         best = written(_first(every, k), "best")
         covered = len(parts) * (radius + 1) - 1
-        near = best.where(F.col("distance") <= covered).groupBy("query").count()
-        closed = near.where((F.col("count") >= k) | F.lit(radius == widest)).select("query")
+        found = best.groupBy("query").agg(
+            F.count_if(F.col("distance") <= covered).alias("sure"), F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")
+        )
+        closed = found.where((F.col("sure") >= k) | F.lit(radius == widest)).select("query")
         ready = written(best.join(closed, "query", "left_semi"), "ready")
         done = ready if done is None else done.union(ready)
-        open_ = written(open_.join(closed, "query", "left_anti"), "open")
+        bounds = found.select("query", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+        left = open_.join(closed, "query", "left_anti").join(bounds, "query", "left")
+        open_ = written(left.select("query", F.coalesce("kth", "bound").alias("bound")), "open")
         if open_.isEmpty():
             break
     return _with_ids(rows, queries, done, k)
