@@ -28,14 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import expand, in_blocks, pack, remainder, squeeze, unpack, written
+from trackloom.llm.common import expand, pack, pieces, remainder, squeeze, unpack, written
 
 DEPTH = 5
 END = 0xFF
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 64 << 20
+PIECE_BYTES = 4 << 20
+SCALE = 1 << 24
 PART_BYTES = 1 << 21
 TOP = 2
 NODE_BITS = 8
@@ -72,21 +76,26 @@ def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def window_counts(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def window_counts(texts: list[bytes], train: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of some texts and how often each occurs in the training ones among them."""
-    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in parts(texts):
         for kind in (True, False):
             own = [t for t, x in zip(texts[a:b], train[a:b], strict=True) if x == kind]
             if own:
                 u, n = np.unique(text_windows(own, depth)[0], return_counts=True)
-                found.append(u)
+                keys.append(u)
                 counts.append(n if kind else np.zeros_like(n))
-    keys, n = np.concatenate(found), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+    return merged(keys, counts)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -177,42 +186,56 @@ def top_of(rows: pd.DataFrame, top: int) -> dict[int, tuple[float, float]]:
 
 
 def packed_blocks(documents: DataFrame, doc_id: str, text: str, depth: int, block_bytes: int) -> DataFrame:
-    """Blocks of texts with their distinct windows and tokens, written to the shared folder.
-
-    block, payload (ids, flags and texts), windows and n_train (packed numbers), tokens, token_train.
+    """Blocks of texts, written to the shared folder: rows with a packed piece of texts (ids, flags,
+    texts), and one row with the lists of the block's distinct windows and tokens and their counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in in_blocks(batches, ("id", "held", "body"), block_bytes):
-            texts = [lower(r[2]) for r in rows]
-            train = np.array([not r[1] for r in rows])
-            windows, counts = window_counts(texts, train, depth)
-            known, seen = Counter(), set()
+        block, total, n_texts = TaskContext.get().partitionId() << 24, 0, 0
+        windows, counts, known, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter(), set()
+        for rows in pieces(batches, ("id", "held", "body"), min(PIECE_BYTES, block_bytes)):
+            texts, train = [lower(r[2]) for r in rows], [not r[1] for r in rows]
+            windows, counts = merged(*zip((windows, counts), window_counts(texts, train, depth), strict=True))
             for t, x in zip(texts, train, strict=True):
                 if x:
                     known.update(t.split())
                 else:
                     seen.update(t.split())
-            tokens = [*known, *(seen - known.keys())]
-            told = np.array([known[t] for t in tokens], np.int64)
-            payload = pack([(f"{'' if r[0] is None else '+' + str(r[0])}|{int(r[1])}", t) for r, t in zip(rows, texts, strict=True)])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block], pa.int64()),
-                    "payload": pa.array([payload], pa.binary()),
-                    "windows": pa.array([squeeze(np.diff(windows, prepend=0).tobytes())], pa.binary()),
-                    "n_train": pa.array([squeeze(counts.tobytes())], pa.binary()),
-                    "tokens": pa.array([squeeze(b"\n".join(tokens))], pa.binary()),
-                    "token_train": pa.array([squeeze(told.tobytes())], pa.binary()),
-                    "n_texts": pa.array([int(train.sum())], pa.int64()),
-                }
-            )
+            n_texts += sum(train)
+            total += sum(map(len, texts))
+            yield one_row(block, payload=pack([(f"{'' if r[0] is None else '+' + str(r[0])}|{int(r[1])}", t) for r, t in zip(rows, texts, strict=True)]))
+            if total >= block_bytes:
+                yield lists(block, windows, counts, known, seen, n_texts)
+                block, total, n_texts = block + 1, 0, 0
+                windows, counts, known, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter(), set()
+        if total or n_texts or len(windows):
+            yield lists(block, windows, counts, known, seen, n_texts)
 
     rows = documents.select(
         F.col(doc_id).cast("string").alias("id"), (remainder(doc_id, 7) == 2).alias("held"), F.col(text).cast("string").alias("body")
     )
-    schema = "block bigint, payload binary, windows binary, n_train binary, tokens binary, token_train binary, n_texts bigint"
-    return written(rows.mapInArrow(run, schema), "blocks")
+    return written(rows.mapInArrow(run, BLOCKS), "blocks")
+
+
+BLOCKS = "block bigint, payload binary, windows binary, n_train binary, tokens binary, token_train binary, n_texts bigint"
+
+
+def one_row(block: int, n_texts: int | None = None, **values: bytes) -> pa.RecordBatch:
+    names = ("payload", "windows", "n_train", "tokens", "token_train")
+    columns = [pa.array([block], pa.int64()), *(pa.array([values.get(c)], pa.binary()) for c in names), pa.array([n_texts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", *names, "n_texts"])
+
+
+def lists(block: int, windows: np.ndarray, counts: np.ndarray, known: Counter, seen: set, n_texts: int) -> pa.RecordBatch:
+    tokens = [*known, *(seen - known.keys())]
+    return one_row(
+        block,
+        n_texts,
+        windows=squeeze(np.diff(windows, prepend=0).tobytes()),
+        n_train=squeeze(counts.tobytes()),
+        tokens=squeeze(b"\n".join(tokens)),
+        token_train=squeeze(np.array([known[t] for t in tokens], np.int64).tobytes()),
+    )
 
 
 def window_rows(blocks: DataFrame) -> DataFrame:
@@ -224,7 +247,7 @@ def window_rows(blocks: DataFrame) -> DataFrame:
                 win, n = np.cumsum(np.frombuffer(expand(windows), np.int64)), np.frombuffer(expand(counts), np.int64)
                 yield from _listed(block, "win", pa.array(win), n)
 
-    return blocks.select("block", "windows", "n_train").mapInArrow(run, "block bigint, place int, win bigint, n bigint")
+    return blocks.where("windows IS NOT NULL").select("block", "windows", "n_train").mapInArrow(run, "block bigint, place int, win bigint, n bigint")
 
 
 def token_rows(blocks: DataFrame) -> DataFrame:
@@ -236,7 +259,7 @@ def token_rows(blocks: DataFrame) -> DataFrame:
                 n = np.frombuffer(expand(counts), np.int64)
                 yield from _listed(block, "token", pa.array(expand(tokens).split(b"\n")[: len(n)], pa.binary()), n)
 
-    return blocks.select("block", "tokens", "token_train").mapInArrow(run, "block bigint, place int, token binary, n bigint")
+    return blocks.where("tokens IS NOT NULL").select("block", "tokens", "token_train").mapInArrow(run, "block bigint, place int, token binary, n bigint")
 
 
 def _listed(block: int, name: str, items: pa.Array, counts: np.ndarray, step: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -287,16 +310,18 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
     wins = window_rows(blocks)
     totals = written(wins.groupBy("win").agg(F.sum("n").alias("n")), "windows")
     known = written(log_probabilities(totals, depth), "values")
-    back = wins.select("win", "block", "place").join(known.hint("shuffle_hash"), "win").select("block", "place", "value")
+    # Values go back as whole numbers, which shuffle small: windows as multiples of 1 / SCALE.
+    scaled = known.select("win", F.round(F.col("value") * SCALE).cast("bigint").alias("value"))
+    back = wins.select("win", "block", "place").join(scaled.hint("shuffle_hash"), "win").select("block", "place", "value")
 
-    # Tokens are dealt out once: each row gets the count over all blocks, and one row of each token
-    # that was learned a half on top, so that they can be counted. Their places are below zero.
+    # Tokens are dealt out once: each row gets twice the count over all blocks, and one row of each
+    # token that was learned one more, so that they can be counted. Their places are below zero.
     same = Window.partitionBy("token")
     counted = token_rows(blocks).select(
         "block", "place", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("block")).alias("r")
     )
-    new = F.when((F.col("r") == 1) & (F.col("c") > 0), 0.5).otherwise(0.0)
-    back = back.unionByName(counted.select("block", (-1 - F.col("place")).alias("place"), (F.col("c") + new).alias("value")))
+    new = F.when((F.col("r") == 1) & (F.col("c") > 0), 1).otherwise(0)
+    back = back.unionByName(counted.select("block", (-1 - F.col("place")).alias("place"), (2 * F.col("c") + new).alias("value")))
     ends = blocks.agg(F.sum("n_texts")).first()[0] or 0
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -304,14 +329,16 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
         order = np.argsort(place, kind="stable")
         place, value = place[order], value[order]
         n_tokens = int(np.searchsorted(place, 0))
-        gain, told = value[n_tokens:], value[:n_tokens][::-1]
-        count = np.floor(told)
+        gain, told = value[n_tokens:] / SCALE, value[:n_tokens][::-1]
+        count = told >> 1
         part_of = np.log10(count + 1).tolist()
-        count = count.astype(np.int64).tolist()
+        count = count.tolist()
         rows = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
-        for payload, windows, tokens in zip(*(left.column(c).to_pylist() for c in ("payload", "windows", "tokens")), strict=True):
-            win = np.cumsum(np.frombuffer(expand(windows), np.int64))
-            at = {t: i for i, t in enumerate(expand(tokens).split(b"\n")[: len(count)])}
+        held_lists = left.filter(pc.is_valid(left.column("windows")))
+        (windows,), (tokens,) = (held_lists.column(c).to_pylist() for c in ("windows", "tokens"))
+        win = np.cumsum(np.frombuffer(expand(windows), np.int64))
+        at = {t: i for i, t in enumerate(expand(tokens).split(b"\n")[: len(count)])}
+        for payload in left.filter(pc.is_valid(left.column("payload"))).column("payload").to_pylist():
             items = unpack(payload)
             texts = [t for _, t in items]
             for a, b in parts(texts):
@@ -329,7 +356,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
                     rows["bits_per_byte"].append(-total / math.log10(2) / (len(t) + 1))
         n = len(rows["doc_id"])
         # What the block adds to the number of learned tokens and types, on its first row.
-        rows["types"] = [int((told % 1 > 0).sum())] * min(n, 1) + [0] * max(n - 1, 0)
+        rows["types"] = [int((told & 1).sum())] * min(n, 1) + [0] * max(n - 1, 0)
         return pa.table(
             {k: pa.array(v, {"doc_id": pa.string(), "held_out": pa.bool_()}.get(k, pa.float64() if k in ("logs", "score", "bits_per_byte") else pa.int64())) for k, v in rows.items()}
         )
