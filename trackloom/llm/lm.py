@@ -40,7 +40,7 @@ END = 0xFF
 BLOCK_BYTES = 64 << 20
 PIECE_BYTES = 4 << 20
 SCALE = 1 << 24
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 TOP = 2
 NODE_BITS = 8
 
