@@ -53,3 +53,15 @@ def test_odd_rows_and_removal(spark, odd, nothing):
     assert dec.report(nothing, items).collect() == []
     none = spark.createDataFrame([], "item_id string, text string")
     assert not any(r["contaminated"] for r in dec.report(odd, none).collect())
+
+
+def test_clean_rows_under_the_id_of_a_contaminated_one_stay(spark):
+    items = spark.createDataFrame([("q", "quick brown fox jumps over the lazy dog")], "item_id string, text string")
+    hit, other = "see the quick brown fox jumps over the lazy dog", "quick brown fox jumps over the lazy dog too"
+    clean = [(1, "a clean text under one id"), (1, None), (None, "a clean text without an id"), (None, None), (2, "another clean text")]
+    docs = spark.createDataFrame([*clean, (1, hit), (None, hit), (1, other)], "doc_id bigint, text string")
+    for limit in (dec.SET_LIMIT, 0):
+        left = dec.without_contaminated(docs, items, set_limit=limit)
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted(clean, key=repr)
+    cut = sorted(map(tuple, dec.without_spans(docs, items).collect()), key=repr)
+    assert cut == sorted([*clean, (1, "see the"), (None, "see the"), (1, "too")], key=repr)

@@ -85,7 +85,7 @@ def hits(
     span: int = 13,
     set_limit: int = SET_LIMIT,
 ) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items and hit ranges in words."""
+    """Per row of ``documents``: doc_id, hash of the text, n_words, n_hit, n_items, items and hit ranges in words."""
     grams = benchmark_windows(benchmark, item_id, item_text, span)
     # At most `span` lengths, whatever the size of the benchmark.
     spans = sorted(r[0] for r in grams.select("span_words").distinct().collect())
@@ -141,6 +141,7 @@ def hits(
     )
     return grouped.select(
         F.col("doc").alias(doc_id),
+        F.col("mark").alias("text_hash"),
         F.col("n_words").cast("bigint").alias("n_words"),
         covered.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -184,15 +185,18 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str
     Only the contaminated rows are gathered; a row leaves when its id and the hash of its text do.
     """
     found = hits(documents, benchmark, doc_id=doc_id, text=text, **options)
-    gone = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col(doc_id).alias("__gone")).distinct()
-    return documents.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    gone = gone.select(F.col(doc_id).alias("__gone"), F.col("text_hash").alias("__mark")).distinct()
+    rows = documents.withColumn("__row", F.xxhash64(F.col(text).cast("string")))
+    return rows.join(gone, rows["__row"].eqNullSafe(gone["__mark"]) & rows[doc_id].eqNullSafe(gone["__gone"]), "left_anti").drop("__row")
 
 
 def without_spans(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, text): the words of each text that no benchmark window covers, lower-cased, by spaces."""
     found = hits(documents, benchmark, doc_id=doc_id, text=text, **options).where("n_hit > 0")
-    found = found.select(F.col(doc_id).alias("__id"), "ranges").dropDuplicates(["__id"])
-    rows = documents.select(doc_id, F.col(text).alias("__text")).join(found, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    found = found.select(F.col(doc_id).alias("__id"), F.col("text_hash").alias("__mark"), "ranges").dropDuplicates(["__id", "__mark"])
+    rows = documents.select(doc_id, F.col(text).alias("__text")).withColumn("__row", F.xxhash64(F.col("__text").cast("string")))
+    rows = rows.join(found, rows["__row"].eqNullSafe(found["__mark"]) & rows[doc_id].eqNullSafe(found["__id"]), "left")
     rows = rows.withColumn("w", words(F.col("__text")))
     kept = F.filter(
         F.transform("w", lambda x, i: F.when(~F.exists("ranges", lambda r: (r["at"] <= i) & (i < r["at"] + r["n"])), x)),
