@@ -105,6 +105,22 @@ def test_classes_like_brute_force(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for v in want.values() for c, _ in v})
 
 
+def test_classes_that_share_their_least_id_and_classes_without_ids(spark):
+    rng = random.Random(11)
+    a, b, c = ([f"{name}{rng.randint(0, 10**6)}" for _ in range(60)] for name in "abc")
+    near = [" ".join([*c[:-1], f"z{i}"]) for i in range(4)]
+    rows = [(1, " ".join(a)), (8, " ".join([*a[:-1], "x"])), (1, " ".join(b)), (9, " ".join([*b[:-1], "y"]))]
+    rows += [(None, text) for text in near] + [(None, near[0])]
+    kept = mh.one_per_class(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] is not None) == sorted([rows[0][1], rows[2][1]])
+    assert {r["doc_id"] for r in kept} == {1, None}
+    assert len(kept) == 3 and [r["text"] for r in kept if r["doc_id"] is None][0] in near
+    # A row without an id stays only where its class has no other.
+    mixed = [(None, near[0]), (7, near[1]), (7, near[2])]
+    kept = mh.one_per_class(spark.createDataFrame(mixed, "doc_id bigint, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [7]
+
+
 def test_odd_rows(spark, odd, nothing):
     got = mh.classes(odd).collect()
     assert len(got) == odd.count()

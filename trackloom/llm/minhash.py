@@ -268,38 +268,47 @@ def links(rows: DataFrame, nodes: DataFrame, members: DataFrame, least: float) -
     return tiles.join(vectors, "digest").groupBy("tile").applyInPandas(verify, "a binary, b binary")
 
 
-def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """Per row: doc_id, text_hash, class_id (the least id of the class) and class_size in rows."""
+def _classed(documents: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """(doc, mark, class_id, keeper, class_size) per row; keeper, the hash of the text that stays, is null for rows alone.
+
+    The row that stays has the least id of its class (null only where the class has no other) and of
+    its texts under that id the one with the smallest hash.
+    """
     rows = numbered(documents, doc_id, text)
     found = written(described(documents, doc_id, text), "signatures")
-    nodes = found.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min(F.struct("doc", "mark")).alias("at"), F.min("doc").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")
-    )
-    nodes = nodes.select("digest", "at.doc", "at.mark", "least", "n", "bands")
+    first = F.min(F.struct(F.isnull("doc").alias("nameless"), "doc", "mark"))
+    nodes = found.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("at"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.select("digest", "at.doc", "at.mark", "n", "bands")
     roots = components(written(links(rows, nodes, buckets(nodes.select("digest", "bands")), least), "links"))
-    roots = nodes.select("digest", "least", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    sizes = roots.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    roots = nodes.select("digest", "doc", "mark", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    sizes = roots.groupBy("root").agg(first.alias("at"), F.sum("n").alias("class_size"))
+    sizes = sizes.where("class_size > 1").select("root", F.col("at.doc").alias("class_id"), F.col("at.mark").alias("keeper"), "class_size")
     # Only classes of several rows; written, so that a text with very many copies can be split below.
-    shared = written(roots.join(sizes.where("class_size > 1"), "root").select("digest", "class_id", "class_size"), "classes")
+    shared = written(roots.select("digest", "root").join(sizes, "root").drop("root"), "classes")
     return found.join(shared, "digest", "left").select(
-        F.col("doc").alias(doc_id),
-        F.col("mark").alias("text_hash"),
+        "doc",
+        "mark",
         F.when(F.col("class_size").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
+        "keeper",
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
     )
 
 
+def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """Per row: doc_id, text_hash, class_id (the least id of the class) and class_size in rows."""
+    found = _classed(documents, doc_id, text, least)
+    return found.select(F.col("doc").alias(doc_id), F.col("mark").alias("text_hash"), "class_id", "class_size")
+
+
 def one_per_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """Rows of ``documents``, all columns as they are: of each class the row with the least id.
 
-    Rows that repeat an id with its text count once.
+    Of two texts of one class under that id the one with the smaller hash stays; ids of other classes
+    do not matter. Rows that repeat an id with its text count once.
     """
-    found = classes(documents, doc_id, text, least).where("class_size > 1")
-    gone = found.where(~F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("__doc"), F.col("text_hash").alias("__mark"))
-    # Two texts of one class under one id: the text with the smaller hash stays.
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_hash").alias("first"))
-    twins = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).join(kept, "class_id").where("text_hash <> first")
-    gone = gone.union(twins.select(F.col(doc_id), "text_hash")).distinct()
+    found = _classed(documents, doc_id, text, least).where("class_size > 1")
+    gone = found.where(~(F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("keeper"))))
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct()
     rows = documents.withColumn("__row", F.xxhash64(F.col(text).cast("string")))
     rows = rows.join(gone, rows["__row"].eqNullSafe(gone["__mark"]) & rows[doc_id].eqNullSafe(gone["__doc"]), "left_anti")
     return rows.dropDuplicates([doc_id, "__row"]).drop("__row")
