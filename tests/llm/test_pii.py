@@ -52,6 +52,32 @@ def test_field_adds_what_repeats_without_pattern():
     assert pii.found_spans(clean, model) == ([], [])
 
 
+def test_field_finds_repeats_of_matches_of_several_tokens():
+    model = pii.train(SAMPLE)
+    filler = "word " * 300
+    for plain in ("5125551234", "15125551234", "512.555.1234", "555-1234"):
+        text = "Phone +1 (512) 555-1234 today. " + filler + f"Again {plain} today, in 2019 for 12345 coins."
+        base, more = pii.found_spans(text, model)
+        assert base == plain_spans(text)
+        assert [(k, text[a:b]) for k, a, b in more] == [("phone", plain)]
+    # However many mentions follow, and however far apart.
+    text = "Phone +1 (512) 555-1234 today. " + (filler + "again 5125551234 today. ") * 40
+    assert len(pii.found_spans(text, model)[1]) == 40
+    other = "Phone +1 (512) 555-1234 today. " + filler + "again 7185550000 today."
+    assert pii.found_spans(other, model)[1] == []
+
+
+def test_messages_reach_the_end_of_a_long_chain():
+    import numpy as np
+
+    node = np.zeros((40, 5))
+    node[0] = [-20, -20, -20, -20, 0]
+    same = np.full((5, 5), -8.0)
+    np.fill_diagonal(same, 0)
+    p = pii.beliefs(node, [(i, i + 1, same) for i in range(39)])
+    assert p[39].argmax() == 4 and p[39, 4] > 0.9
+
+
 def test_beliefs_are_exact_on_a_tree():
     import itertools
 

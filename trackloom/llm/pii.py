@@ -1,16 +1,20 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give the base spans. The random field labels the *candidate tokens* of a document (runs
-of non-space with a digit or an ``@``) with O, EMAIL, IP, CARD or PHONE: each has a node potential
-from its shape, neighbours in the text share a chain potential, and tokens that repeat, or whose
-digits or local parts are alike, share a skip potential however far apart they stand. Loopy belief
-propagation then makes one entity carry one label across the document; a token without a pattern
-match whose belief in a label is at least ``threshold`` becomes a further span. All other tokens
-are O by a hard constraint, which also cuts the chain there, so they need no messages.
+The patterns give the base spans. The random field has a node for every base span, of however many
+tokens, and for every other *candidate token* of a document (runs of non-space with a digit or an
+``@``), labelled O, EMAIL, IP, CARD or PHONE: each has a node potential from its shape, neighbours
+in the text share a chain potential, and nodes that repeat, or whose digits or local parts are
+alike, share a skip potential however far apart they stand. A base span has its label by a hard
+constraint, and every mention of one of its keys is linked to it directly. Loopy belief propagation
+then makes one entity carry one label across the document; a token without a pattern match whose
+belief in a label is at least ``threshold`` becomes a further span. All other tokens are O by a
+hard constraint, which also cuts the chain there, so they need no messages.
 
 Weights are trained piecewise: the pattern matches label the candidate tokens of at most
 ``SAMPLE_ROWS`` documents (a bounded, documented sample), softmax regression fits the nodes, and
-smoothed counts of label pairs give the chain and skip potentials.
+smoothed counts of label pairs give the chain potentials, and how often linked nodes agree (at first, nine
+in ten) gives the skip potential. A link between a match and a token
+without one is not counted: the patterns say nothing about the latter.
 
 Edge cases: null text is empty text; repeated rows give repeated results; an empty table trains
 nothing and yields nothing; only the named columns are read.
@@ -32,7 +36,11 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.9
-ROUNDS = 8
+#: Messages stop when they settle, on a tree after as many rounds as it is deep; from DAMPED on they are
+#: averaged with the former ones, and a graph that never settles ends after ROUNDS.
+ROUNDS, DAMPED = 1000, 50
+#: Potential of the labels that a match rules out.
+RULED_OUT = -1e4
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -132,32 +140,45 @@ def node_features(token: str) -> list[int]:
 N_FEATURES = 52
 
 
-def likeness_keys(token: str) -> list[str]:
-    """What two tokens must share to be joined by a skip edge: the token, its digits, its local part."""
+def likeness_keys(token: str, proven: int = 0) -> list[str]:
+    """What two nodes must share to be joined by a skip edge: the text, the digits or the last 10 of them, the local part.
+
+    A phone or card that a pattern proved is also known by its last 7 digits.
+    """
     keys = ["t" + token.lower()]
     digits = "".join(c for c in token if c.isdigit())
     if len(digits) >= 7:
-        keys.append("d" + digits[-10:])
+        keys += ["d" + digits, "d" + digits[-10:]]
+        if proven and LABELS[proven] in ("card", "phone"):
+            keys.append("d" + digits[-7:])
     if "@" in token:
         keys.append("l" + token.partition("@")[0].lower())
-    return keys
+    return list(dict.fromkeys(keys))
 
 
-def edges(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between candidates with only space or punctuation between, and skip edges.
+def nodes_of(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Nodes in the order of the text and their proven labels: all base spans, and the tokens that none overlaps (0)."""
+    rest = [(a, b, 0) for (a, b), k in zip(tokens, labels_of(tokens, spans), strict=True) if not k]
+    nodes = sorted([*rest, *((a, b, LABELS.index(k)) for k, a, b in spans)])
+    return [(a, b) for a, b, _ in nodes], [k for _, _, k in nodes]
 
-    Tokens of one likeness key are linked in order of occurrence: they are all connected, with as
-    many edges as tokens.
-    """
-    chain = [(i, i + 1) for i in range(len(tokens) - 1) if not any(c.isalnum() for c in text[tokens[i][1] : tokens[i + 1][0]][:64]) and tokens[i + 1][0] - tokens[i][1] <= 64]
-    last: dict[str, int] = {}
-    skip = set()
-    for i, (a, b) in enumerate(tokens):
-        for key in likeness_keys(text[a:b]):
-            if key in last:
-                skip.add((last[key], i))
-            last[key] = i
-    return chain, sorted(skip - set(chain))
+
+def chain_edges(text: str, nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges between neighbours with only space or punctuation between."""
+    return [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 64 and not any(c.isalnum() for c in text[nodes[i][1] : nodes[i + 1][0]])]
+
+
+def skip_edges(text: str, nodes: list[tuple[int, int]], proven: list[int]) -> list[tuple[int, int]]:
+    """Every mention of a likeness key is linked to the first proven mention of it, or to the first of all where none is proven."""
+    mentions: dict[str, list[int]] = {}
+    for i, ((a, b), k) in enumerate(zip(nodes, proven, strict=True)):
+        for key in likeness_keys(text[a:b], k):
+            mentions.setdefault(key, []).append(i)
+    out = set()
+    for own in mentions.values():
+        hub = next((i for i in own if proven[i]), own[0])
+        out.update((min(hub, i), max(hub, i)) for i in own if i != hub)
+    return sorted(out)
 
 
 def labels_of(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[int]:
@@ -180,18 +201,21 @@ def train(texts: list[str], epochs: int = 60) -> dict[str, np.ndarray]:
     """Piecewise fit of node, chain and skip weights on pattern-labelled candidates."""
     feats, gold = [], []
     chain = np.ones((5, 5))
-    skip = np.ones((5, 5)) * 0.5
+    alike, unlike = 9.0, 1.0
     for text in texts:
-        tokens = candidates(text)
-        y = labels_of(tokens, base_spans(text)) if tokens else []
-        c, s = edges(text, tokens)
-        for i, j in c:
+        tokens, base = candidates(text), base_spans(text)
+        y = labels_of(tokens, base)
+        for i, j in chain_edges(text, tokens):
             chain[y[i], y[j]] += 1
-        for i, j in s:
-            skip[y[i], y[j]] += 1
-            skip[y[j], y[i]] += 1
-        feats += [node_features(text[a:b]) for a, b in tokens]
-        gold += y
+        nodes, proven = nodes_of(tokens, base)
+        for i, j in skip_edges(text, nodes, proven):
+            if bool(proven[i]) == bool(proven[j]):
+                alike, unlike = alike + (proven[i] == proven[j]), unlike + (proven[i] != proven[j])
+        # The parts of a match teach as well as the whole: either may stand alone elsewhere.
+        known = set(tokens)
+        whole = [(a, b, LABELS.index(k)) for k, a, b in base if (a, b) not in known]
+        feats += [node_features(text[a:b]) for a, b in [*tokens, *((a, b) for a, b, _ in whole)]]
+        gold += [*y, *(k for _, _, k in whole)]
     x = np.zeros((len(feats), N_FEATURES))
     for i, f in enumerate(feats):
         x[i, f] = 1
@@ -211,11 +235,9 @@ def train(texts: list[str], epochs: int = 60) -> dict[str, np.ndarray]:
         joint = counts / counts.sum()
         return np.clip(np.log(joint) - np.log(np.outer(prior, prior)), -3, 3)
 
-    # Tokens that are alike agree: the skip table never rewards a change of label.
-    agree = potential(skip)
-    off = ~np.eye(5, dtype=bool)
-    agree[off] = np.minimum(agree[off], 0)
-    return {"node": w, "chain": potential(chain), "skip": np.maximum(agree, -3)}
+    # Nodes that are alike agree: every change of label costs the same, and no label is rewarded for repeating.
+    cost = min(np.log(4 * alike / unlike), 6)
+    return {"node": w, "chain": potential(chain), "skip": -cost * (1 - np.eye(5))}
 
 
 def beliefs(node: np.ndarray, links: list[tuple[int, int, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
@@ -228,7 +250,7 @@ def beliefs(node: np.ndarray, links: list[tuple[int, int, np.ndarray]], rounds:
     pot = np.array([x for _, _, t in links for x in (t, t.T)])
     back = np.arange(len(src)) ^ 1
     msg = np.zeros((len(src), 5))
-    for _ in range(rounds):
+    for step in range(rounds):
         total = node.copy()
         np.add.at(total, dst, msg)
         out = (total[src] - msg[back])[:, :, None] + pot
@@ -238,7 +260,7 @@ def beliefs(node: np.ndarray, links: list[tuple[int, int, np.ndarray]], rounds:
         if np.abs(new - msg).max() < 1e-6:
             msg = new
             break
-        msg = 0.5 * msg + 0.5 * new
+        msg = new if step < DAMPED else 0.5 * msg + 0.5 * new
     total = node.copy()
     np.add.at(total, dst, msg)
     z = np.exp(total - total.max(1, keepdims=True))
@@ -251,15 +273,17 @@ def found_spans(text: str, model: dict[str, np.ndarray], threshold: float = THRE
     tokens = candidates(text)
     if not tokens:
         return base, []
-    chain, skip = edges(text, tokens)
-    node = np.array([model["node"][node_features(text[a:b])].sum(0) for a, b in tokens])
-    proven = labels_of(tokens, base)
+    nodes, proven = nodes_of(tokens, base)
+    chain = chain_edges(text, nodes)
+    skip = sorted(set(skip_edges(text, nodes, proven)) - {(i, j) for i, j in chain if not proven[i] and not proven[j]})
+    node = np.array([model["node"][node_features(text[a:b])].sum(0) for a, b in nodes])
     for i, k in enumerate(proven):
-        if k:  # what a pattern proved is evidence, not a guess
-            node[i, k] += 12.0
+        if k:  # what a pattern proved is a fact, not a guess
+            node[i] = RULED_OUT
+            node[i, k] = 0
     p = beliefs(node, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
     more = []
-    for (a, b), q, k in zip(tokens, p, proven, strict=True):
+    for (a, b), q, k in zip(nodes, p, proven, strict=True):
         label = int(q[1:].argmax()) + 1
         if not k and q[label] >= threshold and telling(text[a:b]):
             more.append((LABELS[label], a, b))
