@@ -464,7 +464,7 @@ def b22_buttons(spark, sf):
     )
     lines = reads(detections(spark, sf)).select(
         "event_id", "pos", "text", F.lit(0.9).alias("confidence"), box.alias("box")
-    ).filter("pos % 2 = 0")
+    )
     kept = SC.accept_lines(lines, ["event_id"], exact_unicode=False)
     return SC.button_candidates(kept).select("event_id", "search_text")
 
