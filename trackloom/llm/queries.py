@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, hamming, language, lm, minhash, pieces, pii, quality, substrings, warc
+from trackloom.llm import decontamination, hamming, language, lm, minhash, periods, pieces, pii, quality, substrings, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,11 @@ WITH c AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d
 )
 SELECT query_id, rank::INT AS rank, id, distance::INT AS distance FROM r WHERE rank <= 10"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words in every whole document, and the text without their repeats."""
+    return periods.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
