@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, hamming, language, lm, minhash, periods, pieces, pii, quality, substrings, warc
+from trackloom.llm import decontamination, hamming, language, lm, minhash, packing, periods, pieces, pii, quality, substrings, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces with their places in sequences of 2048 tokens."""
+    return packing.report(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_packing"] = op12_packing
