@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontamination, hamming, language, lm, minhash, packing, periods, pieces, pii, quality, substrings, warc
+from trackloom.llm import decontamination, hamming, language, lm, merkle, minhash, packing, periods, pieces, pii, quality, substrings, warc
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,64 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_packing"] = op12_packing
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root of its version."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_merkle"] = op13_merkle
+
+
+def _leaf(*fields: str) -> str:
+    texts = (f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields)
+    return f"sha256({' || '.join(texts)})"
+
+
+_KEY = "coalesce(doc_id::VARCHAR, '')"
+_CRC = (
+    f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, strlen({_KEY}) + 1), "
+    f"lambda i: ascii(substr({_KEY}, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+)
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), leaf AS (
+  SELECT doc_id, lang, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS h,
+         CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("doc_id", "source", "lang", "n_chars + 1", "text")} END AS changed
+  FROM documents, crc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaf
+), node AS (
+  SELECT 0 AS lvl, lang, pos, h, n FROM placed
+  UNION ALL
+  SELECT lvl + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM node WHERE n > 1 GROUP BY lvl, lang, pos // 2, n
+), sub AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, h, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+), walk AS (
+  SELECT doc_id, lang, h AS leaf, 0 AS lvl, pos, n, '' AS proof, coalesce(changed, h) AS folded FROM placed
+  UNION ALL
+  SELECT doc_id, w.lang, leaf, w.lvl + 1, w.pos // 2, (w.n + 1) // 2, proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+  FROM walk w LEFT JOIN node s ON s.lvl = w.lvl AND s.lang IS NOT DISTINCT FROM w.lang AND s.pos = xor(w.pos, 1)
+  WHERE w.n > 1
+), climb AS (
+  SELECT doc_id, leaf, s.h AS subroot, 0 AS lvl, s.pos, s.n, proof, folded
+  FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, w.lvl + 1, w.pos // 2, (w.n + 1) // 2, proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+  FROM climb w LEFT JOIN top s ON s.lvl = w.lvl AND s.pos = xor(w.pos, 1)
+  WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = top.h AS verified
+FROM climb, top WHERE climb.n = 1 AND top.n = 1"""
