@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 from trackloom.functions import classes as C
 from trackloom.functions import fixed
@@ -66,3 +68,31 @@ def test_names_follow_unicode_white_space(spark):
         "stop_sign", "unknown", "unknown",
     ]
     assert len(set(fixed.METRICS)) == 38
+
+
+def test_a_chain_longer_than_a_chunk_takes_more_rounds(spark):
+    """Every pair waits for the one before it, over many chunks; other keys are settled at once."""
+    # truth 0, 4, 8, .. and predictions 2, 6, 10, ..: all neighbours are two frames apart
+    n = 400
+    truth = [(1, i, 4 * i) for i in range(n)] + [(2, 0, 5), (2, 1, 900), (None, 0, 7)]
+    predicted = [(1, i, 4 * i + 2) for i in range(n)] + [(2, 0, 6), (2, 1, 890), (None, 0, 7), (None, 1, 7)]
+    # one frame of many rows on either side
+    truth += [(3, i, 50) for i in range(300)]
+    predicted += [(3, i, 50 + i % 3) for i in range(450)]
+    t = spark.createDataFrame(truth, "source_id int, truth_id int, truth_frame long")
+    p = spark.createDataFrame(predicted, "source_id int, predicted_id int, predicted_frame long")
+    rows = match_within(t, p, tolerance=3, span=64).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.source_id, []).append((r.truth_id, r.predicted_id))
+        assert r.distance == abs(r.truth_frame - r.predicted_frame)
+    for s in (1, 2, 3, None):
+        # list positions stand for ids, which are numbered from 0 in every key
+        assert sorted(got.get(s, [])) == greedy([f for k, _, f in truth if k == s], [f for k, _, f in predicted if k == s], 3)
+
+
+def test_ids_to_match_are_single_values(spark):
+    t = spark.range(1).select(F.lit(1).alias("source_id"), F.struct("id").alias("truth_id"), F.lit(1).alias("truth_frame"))
+    p = spark.range(1).select(F.lit(1).alias("source_id"), F.col("id").alias("predicted_id"), F.lit(1).alias("predicted_frame"))
+    with pytest.raises(TypeError):
+        match_within(t, p)

@@ -13,7 +13,7 @@ from trackloom.functions import fixed
 from trackloom.functions.classes import norm_state, object_family
 from trackloom.functions.geometry import is_finite
 from trackloom.functions.text import is_bus_approach_message, normalised_edit_distance
-from trackloom.operators.keyed import carry_sum, previous_row
+from trackloom.operators.matching import match_within  # noqa: F401 - part of scoring
 
 SOURCE = ("source_id",)
 
@@ -56,71 +56,6 @@ def overlapping_visible(
     return per_frame.groupBy(*keys).agg(F.max("_two").alias("overlaps")).filter("overlaps").select(*keys)
 
 
-def match_within(
-    truth: DataFrame,
-    predicted: DataFrame,
-    *,
-    tolerance: int = 30,
-    keys: Sequence[str] = SOURCE,
-    truth_frame: str = "truth_frame",
-    predicted_frame: str = "predicted_frame",
-    truth_id: str = "truth_id",
-    predicted_id: str = "predicted_id",
-) -> DataFrame:
-    """One-to-one matches of frames within a tolerance, nearest pairs first.
-
-    Ties go to the smaller truth id, then the smaller prediction id. Frames of a
-    key fall into islands wherever neighbours are farther apart than the
-    tolerance; no pair crosses a gap, so islands are matched apart, each in one
-    pass over its pairs in order of distance. No job runs while the plan is
-    built, and there are no rounds.
-    """
-    keys = list(keys)
-    kinds = truth.schema[truth_id].dataType, predicted.schema[predicted_id].dataType
-    # a placeholder, never read, keeps whole numbers whole in pandas
-    blank = [F.lit("0").cast(kind) for kind in kinds]
-    ends = (
-        truth.select(*keys, F.col(truth_frame).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.col(truth_id).alias("_t"), blank[1].alias("_p"))
-        .unionByName(
-            predicted.select(*keys, F.col(predicted_frame).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), blank[0].alias("_t"), F.col(predicted_id).alias("_p"))
-        )
-        .filter("_at is not null and _t is not null and _p is not null")
-    )
-    order = ["_at", "_kind", "_t", "_p"]
-    placed = previous_row(ends, keys, order, {"_before": "_at"})
-    far = F.coalesce(F.col("_at") - F.col("_before") > tolerance, F.lit(True)).cast("int")
-    placed = carry_sum(placed, keys, order, {"_island": far})
-    schema = T.StructType(
-        [
-            *[ends.schema[k] for k in keys],
-            T.StructField(truth_id, kinds[0]),
-            T.StructField(predicted_id, kinds[1]),
-            T.StructField(truth_frame, truth.schema[truth_frame].dataType),
-            T.StructField(predicted_frame, predicted.schema[predicted_frame].dataType),
-            T.StructField("distance", T.LongType()),
-        ]
-    )
-    names = [f.name for f in schema]
-
-    def match(key: tuple, island: pd.DataFrame) -> pd.DataFrame:
-        left = island[island["_kind"] == 0].sort_values(["_at", "_t"])
-        right = island[island["_kind"] == 1].sort_values(["_at", "_p"])
-        p_at, p_id = right["_at"].to_numpy(), right["_p"].to_numpy()
-        pairs = []
-        for t, at in zip(left["_t"], left["_at"]):
-            near = slice(p_at.searchsorted(at - tolerance), p_at.searchsorted(at + tolerance, "right"))
-            pairs += [(abs(int(f) - at), t, p, at, int(f)) for p, f in zip(p_id[near], p_at[near])]
-        used_t, used_p, rows = set(), set(), []
-        for distance, t, p, t_at, p_at_ in sorted(pairs):
-            if t not in used_t and p not in used_p:
-                used_t.add(t)
-                used_p.add(p)
-                rows.append((*key[: len(keys)], t, p, t_at, p_at_, distance))
-        return pd.DataFrame(rows, columns=names)
-
-    return placed.groupBy(*keys, "_island").applyInPandas(match, schema)
-
-
 def duplicate_count(rows: DataFrame, signature: Sequence[str], keys: Sequence[str] = SOURCE):
     """How many rows repeat an earlier one with the same signature, per key."""
     counted = rows.groupBy(*keys, *signature).agg((F.count(F.lit(1)) - 1).alias("_extra"))

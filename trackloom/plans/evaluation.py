@@ -62,6 +62,11 @@ class Truth:
     texts: DataFrame
 
 
+def _single_id(first: str, second: str) -> Column:
+    """Two positions, none below 0, as one value that sorts as they do."""
+    return F.format_string("%019d-%019d", F.col(first).cast("bigint"), F.col(second).cast("bigint"))
+
+
 # --- small set helpers ------------------------------------------------------------
 
 
@@ -466,7 +471,7 @@ def signal_metrics(videos: DataFrame, run: Run, truth: Truth, tolerance: int) ->
             *SOURCE,
             norm_state(F.col("from_state")).alias("_from"),
             norm_state(F.col("to_state")).alias("_to"),
-            F.struct("object_pos", "transition_pos").alias("truth_id"),
+            _single_id("object_pos", "transition_pos").alias("truth_id"),
             F.col("frame").alias("truth_frame"),
         )
     )
@@ -475,7 +480,7 @@ def signal_metrics(videos: DataFrame, run: Run, truth: Truth, tolerance: int) ->
         *SOURCE,
         norm_state(F.col("previous_state")).alias("_from"),
         norm_state(F.col("current_state")).alias("_to"),
-        F.struct("frame_index", "pos").alias("predicted_id"),
+        _single_id("frame_index", "pos").alias("predicted_id"),
         F.col("frame_index").alias("predicted_frame"),
     )
     matches = K.match_within(expected, predicted, tolerance=tolerance, keys=[*SOURCE, "_from", "_to"])
@@ -702,7 +707,7 @@ def kiosk_metrics(videos: DataFrame, run: Run, truth: Truth, tolerance: int) ->
     )
     changed = R.derived_changes(stages, "stage", keys=[*SOURCE, "object_pos"]).select(
         *SOURCE,
-        F.struct("object_pos", "start_frame").alias("truth_id"),
+        _single_id("object_pos", "start_frame").alias("truth_id"),
         F.col("start_frame").alias("truth_frame"),
     )
     seen = run.events.filter(
@@ -710,7 +715,7 @@ def kiosk_metrics(videos: DataFrame, run: Run, truth: Truth, tolerance: int) ->
         & (object_family(F.col("object_type")) == "kiosk")
     ).select(
         *SOURCE,
-        F.struct("frame_index", "pos").alias("predicted_id"),
+        _single_id("frame_index", "pos").alias("predicted_id"),
         F.col("frame_index").alias("predicted_frame"),
     )
     matched = (
