@@ -31,16 +31,6 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """The same logs as a stream of arriving files."""
-    return (
-        spark.readStream.schema(schemas.FRAME)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
-    )
-
-
 def frame_records(frames: DataFrame, detections: DataFrame, **parts: DataFrame) -> DataFrame:
     """Nested frame records from flat tables.
 

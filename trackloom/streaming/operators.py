@@ -2,7 +2,8 @@
 
 Rows wait until the watermark has passed them and are then handed to the step
 in order of their clock, so results do not depend on how the stream was cut
-into batches. Rows that come later than the allowed delay go to a side table.
+into batches. Rows that come later than the watermark are dropped; :mod:`trackloom.streaming.late`
+keeps them and closes idle keys.
 """
 
 from __future__ import annotations
@@ -99,11 +100,6 @@ def stream_fold(
     )
 
 
-def split_late(batch: DataFrame, watermark_tick: float, clock: str) -> tuple[DataFrame, DataFrame]:
-    """Rows on time and rows that belong to the side table of late data."""
-    return batch.filter(F.col(clock) >= watermark_tick), batch.filter(F.col(clock) < watermark_tick)
-
-
 def distinct_stream(events: DataFrame, signature: Sequence[str], *, clock: str, delay: str) -> DataFrame:
     """One event per signature within the watermark."""
     return events.withWatermark(clock, delay).dropDuplicatesWithinWatermark(list(signature))
@@ -116,14 +112,3 @@ def activity_sessions(rows: DataFrame, *, keys: Sequence[str], clock: str, gap:
         .groupBy(*keys, F.session_window(clock, gap))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-
-
-def keep_snapshot(batch: DataFrame, path: str, *, key: str = "session_id") -> None:
-    """Write the newest state per session of one micro-batch.
-
-    Meant for ``foreachBatch``: batches are appended under the folder; readers
-    take the newest row per key with :func:`trackloom.operators.scene.snapshot`.
-    """
-    from trackloom.operators.scene import snapshot
-
-    snapshot(batch, key=key).write.mode("append").parquet(path)

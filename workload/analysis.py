@@ -805,23 +805,26 @@ SELECT source_id AS session_id, max(ms) AS updated_at_ms,
 FROM upd GROUP BY 1""",
 )
 def i15(spark, sf):
+    return S.snapshot(view_updates(spark, sf)).select(
+        "session_id",
+        "updated_at_ms",
+        F.array_join("visible_objects", ",").alias("shown"),
+        "scene_confidence",
+    )
+
+
+def view_updates(spark, sf):
     k = F.col("k")
     view = F.when(k % 4 == 1, F.array().cast("array<string>")).when(
         k % 4 > 1, F.array("class_name")
     )
-    updates = detections(spark, sf).select(
+    return detections(spark, sf).select(
         F.col("source_id").alias("session_id"),
         (F.col("frame_index") * 500).alias("updated_at_ms"),
         F.col("event_id").alias("seq"),
         view.alias("visible_objects"),
         F.col("confidence").alias("scene_confidence"),
     )
-    return S.snapshot(updates).select(
-        "session_id",
-        "updated_at_ms",
-        F.array_join("visible_objects", ",").alias("shown"),
-        "scene_confidence",
-    )
 
 
 def speech_flags(spark, sf):
