@@ -35,11 +35,16 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, for results that are much larger than their inputs."""
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 512, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, of at most about ``most`` bytes, for results much larger than their inputs."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        at = 0
+        while at < batch.num_rows:
+            rows = min(size, batch.num_rows - at)
+            while rows > 1 and batch.slice(at, rows).nbytes > most:
+                rows = -(-rows // 2)
+            yield batch.slice(at, rows)
+            at += rows
 
 
 def squeeze(value: bytes) -> bytes:

@@ -34,7 +34,8 @@ from trackloom.llm.common import rows_of, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_LIMIT = 1_500_000
+#: A worker remembers the words of one to two such counts.
+CACHE_LIMIT = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -208,16 +209,20 @@ def best_path(word: str, vocabulary: Vocabulary) -> list[int]:
 
 
 class Words(dict):
-    """Packed ids of a word, remembered; the memory is emptied when it is full."""
+    """Packed ids of a word, remembered; when the memory is full, words not met since the last time are forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.earlier: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_LIMIT:
+            self.earlier = dict(self)
             self.clear()
-        value = np.array(best_path(word, self.vocabulary), np.int32).tobytes()
+        value = self.earlier.get(word)
+        if value is None:
+            value = np.array(best_path(word, self.vocabulary), np.int32).tobytes()
         if len(word) <= 40:
             self[word] = value
         return value
