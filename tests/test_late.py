@@ -1,6 +1,7 @@
 import tempfile
 import time
 
+from pyspark.sql import functions as F
 from trackloom.operators.steps import Turns
 from trackloom.streaming.late import late_fold, start_two_tables, two_tables
 
@@ -20,7 +21,7 @@ def test_late_rows_are_kept_and_idle_keys_leave_the_state(spark):
 
     def arrive(rows):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source).withColumn("frames", F.lit(1))
         folded = late_fold(stream, ["session_id"], ["seq"], step, delay=50, idle_ms=4_000, remember_ms=3_600_000)
         query = start_two_tables(folded, table, checkpoint)
         assert query.awaitTermination(120)
@@ -37,7 +38,7 @@ def test_late_rows_are_kept_and_idle_keys_leave_the_state(spark):
     # row 190 is within the delay, row 7 is far behind what session 1 was handed; session 3 is new
     arrive([(1, 7, True), (1, 190, values[190]), (3, 5, True)] + [r for r in both if r[0] == 1 and r[1] >= 200])
     results, late = two_tables(spark, table, ["session_id"])
-    assert [tuple(r) for r in late.collect()] == [(1, 7, True)]
+    assert [tuple(r) for r in late.collect()] == [(1, 7, 1, True)]
     # a later batch finds session 1, 2 and 3 idle: what waits is handed over and their state is gone
     time.sleep(5)
     arrive([(4, 0, False)])
@@ -55,5 +56,5 @@ def test_late_rows_are_kept_and_idle_keys_leave_the_state(spark):
     # the bound outlives the state: a straggler of a closed session is late, a newer row opens it again
     arrive([(2, 150, True), (2, 900, True)])
     late = sorted(tuple(r) for r in two_tables(spark, table, ["session_id"])[1].collect())
-    assert late == [(1, 7, True), (2, 150, True)]
+    assert late == [(1, 7, 1, True), (2, 150, 1, True)]
     assert {r.k for r in state("saved").collect()} >= {2}

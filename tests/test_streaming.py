@@ -32,7 +32,7 @@ def test_a_stream_gives_the_batch_result(spark):
     spark.createDataFrame([(1, 5000, False), (2, 5000, False)], schema).coalesce(1).write.mode(
         "append"
     ).parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("frames", F.lit(1))
     step = Turns(silence_ms=100, prefix_ms=100, min_speech_ms=120, max_utterance_ms=1000)
     folded = stream_fold(
         stream, ["session_id"], ["seq"], step, delay="400 seconds", delay_ticks=400

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.text import tokens
@@ -34,7 +34,26 @@ def endpoint_turns(
     early point whose pause ran through to the end of the turn.
     """
     step = Turns(silence_ms, prefix_ms, min_speech_ms, max_utterance_ms, speculative_ms)
-    return fold(flags, keys, ["seq"], step, span=span)
+    return fold(runs_of_flags(flags, keys, span=span), keys, ["seq"], step, span=span)
+
+
+def runs_of_flags(flags: DataFrame, keys: Sequence[str], *, span: int = TURN_SPAN) -> DataFrame:
+    """Runs of consecutive frames with one flag: seq of the first one, frames and is_speech.
+
+    Runs end at chunk borders, so a key is spread over its chunks; a missing flag is silence.
+    """
+    keys = list(keys)
+    rows = flags.select(*keys, "seq", F.coalesce("is_speech", F.lit(False)).alias("is_speech"), F.floor(F.col("seq") / span).alias("_chunk"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("seq")
+    same = (F.lag("is_speech").over(inside) == F.col("is_speech")) & (F.lag("seq").over(inside) == F.col("seq") - 1)
+    marked = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    numbered = marked.withColumn("_run", F.sum("_new").over(inside))
+    # the window's partitioning serves the grouping too
+    return (
+        numbered.groupBy(*keys, "_chunk", "_run")
+        .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("frames"), F.first("is_speech").alias("is_speech"))
+        .drop("_chunk", "_run")
+    )
 
 
 def speculative_points(turn_rows: DataFrame) -> DataFrame:
