@@ -14,6 +14,7 @@ from trackloom.functions.classes import norm_state, object_family
 from trackloom.functions.geometry import is_finite
 from trackloom.functions.text import is_bus_approach_message, normalised_edit_distance
 from trackloom.operators.matching import match_within  # noqa: F401 - part of scoring
+from trackloom.operators.phrases import phrases_said
 
 SOURCE = ("source_id",)
 
@@ -245,17 +246,15 @@ def forbidden_narrations(
     """Violations of forbidden phrases and patterns per key and rule.
 
     ``rules``: kind (phrase or pattern) and rule text. Phrases match anywhere
-    whatever their case, patterns as regular expressions.
+    whatever their case, all of them in one walk; patterns are regular expressions.
     """
+    keys = list(keys)
+    phrases = phrases_said(narrations, rules.filter("kind = 'phrase'"), keys).select(*keys, F.lit("phrase").alias("kind"), "rule", "violations")
     # A faulty pattern is taken literally; each distinct one is looked at once.
-    patterns = rules.filter("kind <> 'phrase'").select("rule").distinct().withColumn("_pattern", _valid_patterns(F.col("rule")))
-    met = narrations.join(rules.join(patterns, "rule", "left"), list(keys)).filter(
-        F.when(
-            F.col("kind") == "phrase",
-            (F.col("rule") != "") & F.lower("message").contains(F.lower("rule")),
-        ).otherwise(F.expr("message rlike concat('(?i)', _pattern)"))
-    )
-    return met.groupBy(*keys, "kind", "rule").agg(F.count(F.lit(1)).alias("violations"))
+    own = rules.filter("kind <> 'phrase'")
+    patterns = own.select("rule").distinct().withColumn("_pattern", _valid_patterns(F.col("rule")))
+    met = narrations.join(own.join(patterns, "rule"), keys).filter("message rlike concat('(?i)', _pattern)")
+    return phrases.unionByName(met.groupBy(*keys, "kind", "rule").agg(F.count(F.lit(1)).alias("violations")))
 
 
 def valid_pattern(pattern: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import classes as C
@@ -12,7 +11,7 @@ from trackloom.operators import runs as R
 from trackloom.operators import scene as S
 from trackloom.operators import scoring as K
 from trackloom.operators import tracks as T
-from trackloom.operators.keyed import carry_last
+from trackloom.operators.keyed import carry_last, carry_sum
 from trackloom.operators.turns import echo_overlap, previous_reply
 from workload.registry import query
 from workload.runs import INTERVALS_SQL, KEY, RUNS_SQL, intervals
@@ -474,7 +473,9 @@ def c18(spark, sf):
     """Every conversation forbids the words of one benchmark passage."""
     said = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_id"), F.col("text").alias("message"))
     items = table(spark, sf, "benchmark")
-    numbered = items.withColumn("n", F.row_number().over(Window.orderBy("item_id")) - 1).join(items.agg(F.count(F.lit(1)).alias("m")))
+    # the place of an item is counted from its chunk of ids and the chunks before it
+    spread = items.withColumn("all", F.lit(1))
+    numbered = carry_sum(spread, ["all"], ["item_id"], {"n": F.lit(1)}).withColumn("n", F.col("n") - 1).join(items.agg(F.count(F.lit(1)).alias("m")))
     rules = (
         said.select("source_id")
         .distinct()
