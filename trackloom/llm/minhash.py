@@ -43,6 +43,8 @@ BAND_ROWS = 5
 BLOCK = 512
 LEAST = 0.8
 CACHE_LIMIT = 300_000
+#: Words of the texts that are described together; a longer text is described alone.
+BATCH_WORDS = 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,42 +69,96 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def shingles_of(texts: list[list[str]], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of SHINGLE words of each text (all words where there are fewer), and how often each occurs.
+
+    Returns the distinct hashes of all texts end to end, ascending within a text, their counts and the
+    place where each text begins, with one more at the end. All texts are hashed at once.
+    """
+    sizes = np.array([len(words) for words in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    h = np.fromiter((known[w] for words in texts for w in words), np.uint64, int(starts[-1]))
+    n = np.where(sizes > 0, np.maximum(1, sizes - SHINGLE + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[:-1][owner]
+    out = np.zeros(len(owner), np.uint64)
+    width = np.minimum(sizes, SHINGLE)[owner]
+    for k in range(SHINGLE):
+        if len(texts) and (width > k).all():
+            out = mix((out + GOLDEN) ^ h[first + k])
+        else:
+            own = np.flatnonzero(width > k)
+            out[own] = mix((out[own] + GOLDEN) ^ h[first[own] + k])
+    order = np.argsort(out)
+    order = order[np.argsort(owner[order], kind="stable")]
+    out, owner = out[order], owner[order]
+    edge = np.ones(len(out), bool)
+    edge[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    spots = np.flatnonzero(edge)
+    counts = np.diff(np.append(spots, len(out))).astype(float)
+    return out[spots], counts, np.searchsorted(owner[spots], np.arange(len(texts) + 1))
+
+
 def shingles(words: list[str], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE words (all words where there are fewer) and how often each occurs."""
-    h = np.array([known[w] for w in words], np.uint64)
-    if not len(h):
-        return h, np.zeros(0)
-    n = max(1, len(h) - SHINGLE + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(h))):
-        out = mix((out + GOLDEN) ^ h[k : k + n])
-    keys, counts = np.unique(out, return_counts=True)
-    return keys, counts.astype(float)
+    """``shingles_of`` one text."""
+    return shingles_of([words], known)[:2]
 
 
-def signature(keys: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash registers: two sets share one with the probability of their weighted similarity.
+def signatures(keys: np.ndarray, weights: np.ndarray, ends: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """ProbMinHash registers of each text: two texts share one with the probability of their weighted similarity.
 
     Every element is a Poisson process of arrivals with its weight as rate, seeded by the element;
     an arrival falls into a random register, which keeps the element that arrived first. All
-    elements advance by one arrival per round, and one stops as soon as its next arrival would come
-    after every register's first: few need more than one round.
+    elements of all texts advance by one arrival per round, and one stops as soon as its next arrival
+    would come after the first ones of all registers of its text: few need more than one round.
     """
-    first = np.full(registers, np.inf)
-    owner = np.zeros(registers, np.uint64)
-    state, at = keys.copy(), np.zeros(len(keys))
-    keys, rate = keys.copy(), weights
+    n = len(ends) - 1
+    first = np.full((n, registers), np.inf)
+    owner = np.zeros(n * registers, np.uint64)
+    base = np.repeat(np.arange(n), np.diff(ends))
+    state, at, rate = keys.copy(), np.zeros(len(keys)), weights
     while len(keys):
         state = state + GOLDEN
         draw = mix(state)
         at = at - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
-        live = at < first.max()
-        keys, state, rate, at = keys[live], state[live], rate[live], at[live]
-        place = (mix(draw[live] ^ GOLDEN) % np.uint64(registers)).astype(np.intp)
-        np.minimum.at(first, place, at)
-        won = at == first[place]
+        live = at < first.max(1)[base]
+        keys, state, rate, at, base = keys[live], state[live], rate[live], at[live], base[live]
+        place = (mix(draw[live] ^ GOLDEN) % np.uint64(registers)).astype(np.intp) + base * registers
+        np.minimum.at(first.reshape(-1), place, at)
+        won = at == first.reshape(-1)[place]
         owner[place[won]] = keys[won]
-    return owner
+    return owner.reshape(n, registers)
+
+
+def signature(keys: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """``signatures`` of one text."""
+    return signatures(keys, weights, np.array([0, len(keys)]), registers)[0]
+
+
+def band_hashes(owner: np.ndarray) -> np.ndarray:
+    """One hash per band of each signature."""
+    owner = owner.reshape(len(owner), -1, BAND_ROWS)
+    h = np.broadcast_to(np.arange(owner.shape[1], dtype=np.uint64), owner.shape[:2])
+    for k in range(BAND_ROWS):
+        h = mix((h + GOLDEN) ^ owner[:, :, k])
+    return h.view(np.int64)
+
+
+def word_batches(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[str]]]]:
+    """Words of a batch's texts, about ``BATCH_WORDS`` at a time, with the row where they begin."""
+    at, texts, total = 0, [], 0
+    for i, (body,) in enumerate(rows_of(batch, "body")):
+        texts.append(words_of(body))
+        total += len(texts[-1])
+        if total >= BATCH_WORDS:
+            yield at, texts
+            at, texts, total = i + 1, [], 0
+    if texts:
+        yield at, texts
+
+
+def word_digest(words: list[str]) -> bytes:
+    return blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def similarity(a_keys: np.ndarray, a_weights: np.ndarray, b_keys: np.ndarray, b_weights: np.ndarray) -> float:
@@ -142,23 +198,17 @@ def described(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            digests, bands = [], []
-            for (body,) in rows_of(batch, "body"):
-                words = words_of(body)
-                if not words:
-                    digests.append(None)
-                    bands.append(None)
-                    continue
-                digests.append(blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
-                owner = signature(*shingles(words, known)).reshape(-1, BAND_ROWS)
-                h = np.arange(len(owner), dtype=np.uint64)
-                for k in range(BAND_ROWS):
-                    h = mix((h + GOLDEN) ^ owner[:, k])
-                bands.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc", "mark", "digest", "bands"],
-            )
+            for at, texts in word_batches(batch):
+                bands = band_hashes(signatures(*shingles_of(texts, known)))
+                own = [i for i, words in enumerate(texts) if words]
+                # Texts without words have no bands; the others' lie end to end.
+                ends = np.cumsum([0, *(bands.shape[1] if words else 0 for words in texts)])
+                lists = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32(), mask=np.array([not words for words in texts] + [False])), pa.array(bands[own].reshape(-1))
+                )
+                digests = pa.array([word_digest(words) if words else None for words in texts], pa.binary())
+                part = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), digests, lists], names=["doc", "mark", "digest", "bands"])
 
     return numbered(documents, doc_id, text).mapInArrow(run, f"doc {kind}, mark bigint, digest binary, bands array<bigint>")
 
@@ -247,14 +297,13 @@ def links(rows: DataFrame, nodes: DataFrame, members: DataFrame, least: float) -
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            digests, keys, weights = [], [], []
-            for (body,) in rows_of(batch, "body"):
-                words = words_of(body)
-                k, w = shingles(words, known)
-                digests.append(blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
-                keys.append(k.tobytes())
-                weights.append(b"" if (w == 1).all() else w.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.binary()), "weights": pa.array(weights, pa.binary())})
+            for _, texts in word_batches(batch):
+                k, w, ends = shingles_of(texts, known)
+                cuts = list(zip(ends, ends[1:]))
+                keys = [k[a:b].tobytes() for a, b in cuts]
+                weights = [b"" if (w[a:b] == 1).all() else w[a:b].astype(np.float32).tobytes() for a, b in cuts]
+                digests = [word_digest(words) for words in texts]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.binary()), "weights": pa.array(weights, pa.binary())})
 
     vectors = texts.select("body").mapInArrow(describe, "digest binary, keys binary, weights binary")
 
