@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from trackloom.functions import classes as C
 from trackloom.functions import fixed
-from trackloom.operators.scoring import least_edit_distance, match_within, overlapping_visible
+from trackloom.functions import vectorized
+from trackloom.operators.scoring import interpolated_percentiles, least_edit_distance, match_within, overlapping_visible
 from trackloom.plans.evaluation import sets_equal
 
 
@@ -96,3 +97,74 @@ def test_ids_to_match_are_single_values(spark):
     p = spark.range(1).select(F.lit(1).alias("source_id"), F.col("id").alias("predicted_id"), F.lit(1).alias("predicted_frame"))
     with pytest.raises(TypeError):
         match_within(t, p)
+
+
+def test_percentiles_of_spread_values(spark):
+    """One far value, infinite ones, ties and a hot group leave the ranks where they are."""
+    rng = random.Random(8)
+    groups = {
+        1: [rng.randint(0, 9) / 7 for _ in range(400)] + [1e12],
+        2: [5.0],
+        3: [float("inf"), 1.0, 2.0, float("inf"), float("inf")],
+        4: [rng.gauss(0, 1) * 10 ** rng.randint(-9, 9) for _ in range(301)],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [(2, None)]
+    df = spark.createDataFrame(rows, "source_id int, ms double").repartition(3)
+    got = {r.source_id: (r.p50, r.p95) for r in interpolated_percentiles(df, "ms").collect()}
+    for g, vs in groups.items():
+        for p, mine in zip((0.5, 0.95), got[g]):
+            vs = sorted(vs)
+            at = p * (len(vs) - 1)
+            low, high = vs[int(at)], vs[min(int(at) + 1, len(vs) - 1)]
+            want = low if low == high or at == int(at) else low + (high - low) * (at - int(at))
+            assert mine == pytest.approx(want, rel=1e-12)
+
+
+def test_nearest_texts_like_all_pairs(spark):
+    rng = random.Random(9)
+
+    def word(n):
+        return "".join(rng.choice("abcd") for _ in range(n))
+
+    base = [word(rng.randint(0, 30)) for _ in range(15)]
+    change = lambda t: "".join(rng.choice([c, c, c, c, "", "x", c + "y"]) for c in t)
+    wanted = [(s, rng.choice([change(rng.choice(base)), word(rng.randint(0, 30)), "語"])) for s in (1, 2, 3) for _ in range(25)]
+    offered = [(s, rng.choice([t, change(t)])) for s in (1, 2) for t in base for _ in range(2)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    got = least_edit_distance(
+        spark.createDataFrame(wanted, "source_id int, text string"), spark.createDataFrame(offered, "source_id int, text string")
+    ).collect()
+    assert len(got) == len(set(wanted)) and sum(r.times for r in got) == len(wanted)
+    for r in got:
+        others = [t for s, t in offered if s == r.source_id]
+        assert r.distance == pytest.approx(min((edits(r.text, o) / max(len(r.text), len(o), 1) for o in others), default=1.0))
+
+
+def test_similar_texts_ask_the_ratio_only_within_bounds(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(10)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abc de1") for _ in range(rng.randint(0, 12)))
+        b = rng.choice([a, a[::-1], a + "x", "".join(rng.choice("abc de1") for _ in range(rng.randint(0, 12)))])
+        rows.append((a, b))
+    rows += [(None, "a"), ("a", None), (".*", "**")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", vectorized.texts_match(F.col("a"), F.col("b"), 0.6).alias("m"))
+    for a, b, m in df.collect():
+        if a is None or b is None:
+            assert m is None
+        else:
+            close = not any(c.isdigit() for c in a + b) and SequenceMatcher(None, a, b).ratio() >= 0.6
+            assert m == (a == b or close)
+    shared = spark.createDataFrame([(a, b) for a, b in rows if a is not None and b is not None], "a string, b string")
+    for r in shared.select("a", "b", vectorized.shared_characters(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == sum(min(r.a.count(c), r.b.count(c)) for c in set(r.a))

@@ -55,9 +55,28 @@ def scoring_text(text):
     return F.regexp_replace(nfkc_casefold(text), r"[^\p{L}\p{N}]", "")
 
 
+def shared_characters(first, second):
+    """How many characters two texts have in common, each as often as both have it."""
+    def times(text, c):
+        return F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))
+
+    distinct = F.array_distinct(F.split(first, ""))
+    return F.aggregate(distinct, F.lit(0), lambda n, c: n + F.least(times(first, c), times(second, c)))
+
+
 def texts_match(first, second, threshold: float = 1.0):
-    """Equal, or without any digit and similar enough."""
-    digits = F.concat(first, second).rlike(r"\d")
+    """Equal, or without any digit and similar enough.
+
+    The ratio is at most twice the shared characters by the length of both texts, and at most what
+    their lengths allow; only pairs that pass both bounds and have no digit are handed to Python.
+    """
     if threshold >= 1.0:
         return first == second
-    return (first == second) | (~digits & (similarity(first, second) >= threshold))
+    digits = F.concat(first, second).rlike(r"\d")
+    a, b = F.char_length(first), F.char_length(second)
+    near = ~digits & (first != second) & (2 * F.least(a, b) >= threshold * (a + b))
+    near = F.when(near, 2 * shared_characters(first, second) >= threshold * (a + b)).otherwise(F.lit(False))
+    ratio = similarity(F.when(near, first), F.when(near, second))
+    return F.when(first.isNull() | second.isNull(), F.lit(None).cast("boolean")).otherwise(
+        (first == second) | (near & F.coalesce(ratio >= threshold, F.lit(False)))
+    )

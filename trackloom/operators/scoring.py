@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackloom.functions import fixed
 from trackloom.functions.classes import norm_state, object_family
 from trackloom.functions.geometry import is_finite
-from trackloom.functions.text import is_bus_approach_message, normalised_edit_distance
+from trackloom.functions.text import is_bus_approach_message
 from trackloom.operators.matching import match_within  # noqa: F401 - part of scoring
 from trackloom.operators.phrases import phrases_said
+from trackloom.session import cut
 
 SOURCE = ("source_id",)
 
@@ -205,32 +208,55 @@ def fragmentation(
     )
 
 
+#: shares of edits up to which a nearest text is looked for, round by round; the last round has no limit
+RADII = (0.15, 0.4)
+
+
 def least_edit_distance(
     expected: DataFrame, predicted: DataFrame, *, keys: Sequence[str] = SOURCE
 ) -> DataFrame:
     """Distance of every expected text to its nearest prediction; 1 without any.
 
-    Both sides hold distinct texts per key before they meet. Equal texts are
-    found by an equi-join first. The rest meet within their key; long texts of
-    hopelessly different length are not compared, as the difference in length
-    alone is a lower bound that a better candidate already beats.
+    Both sides hold distinct texts per key before they meet, and equal texts are found by an
+    equi-join. For the rest the search grows: within a share r of edits only texts of a length between
+    (1 - r) and 1 / (1 - r) of the own one can lie, so these meet by key and length, and their distance is
+    computed up to that bound only. A text that found one leaves; what is left after the last radius
+    meets all texts of its key. Jobs run between the rounds.
     """
     keys = list(keys)
     wanted = expected.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("times"))
-    offered = predicted.select(*keys, F.col("text").alias("other")).distinct()
+    offered = cut(predicted.select(*keys, F.col("text").alias("other")).distinct().withColumn("_size", F.char_length("other")))
     exact = wanted.join(
         offered, (wanted.text == offered.other) & _same(wanted, offered, keys), "left_semi"
     ).withColumn("distance", F.lit(0.0))
-    rest = wanted.join(exact.select(*keys, "text"), [*keys, "text"], "left_anti")
-    near = (
-        rest.join(offered, keys)
-        .groupBy(*keys, "text", "times")
-        .agg(F.min(normalised_edit_distance(F.col("text"), F.col("other"))).alias("distance"))
-    )
-    none = rest.join(near.select(*keys, "text"), [*keys, "text"], "left_anti").withColumn(
-        "distance", F.lit(1.0)
-    )
-    return exact.unionByName(near).unionByName(none)
+    rest = cut(wanted.join(exact.select(*keys, "text"), [*keys, "text"], "left_anti"))
+    longest = F.greatest(F.char_length("text"), F.char_length("other"), F.lit(1))
+    found = [exact]
+    for radius in (*RADII, None):
+        if radius is None:
+            near = rest.join(offered, keys).withColumn("_edits", F.levenshtein("text", "other"))
+        else:
+            size = F.char_length("text")
+            sizes = F.sequence(F.ceil(size * (1 - radius)).cast("int"), F.floor(size / (1 - radius)).cast("int"))
+            pairs = rest.select("*", F.explode(sizes).alias("_size")).join(offered, [*keys, "_size"])
+            # the bound of a plan must be one number; a greater distance than that of the pair is dropped after it
+            near = pairs.withColumn("_edits", _edits_within(radius)).filter((F.col("_edits") >= 0) & (F.col("_edits") <= longest * radius))
+        near = near.groupBy(*keys, "text", "times").agg(F.min(F.col("_edits") / longest).alias("distance"))
+        near = cut(near)
+        found.append(near)
+        rest = cut(rest.join(near.select(*keys, "text"), [*keys, "text"], "left_anti"))
+    found.append(rest.withColumn("distance", F.lit(1.0)))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _edits_within(radius: float) -> Column:
+    """Edit distance of text and other, cut off at the share of their length in steps of doubling bounds; -1 beyond."""
+    longest = F.greatest(F.char_length("text"), F.char_length("other"), F.lit(1))
+    bound = longest * radius
+    edits = F.levenshtein("text", "other")
+    for step in (64, 16, 4, 1):
+        edits = F.when(bound <= step, F.levenshtein("text", "other", step)).otherwise(edits)
+    return edits
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -282,28 +308,40 @@ def interpolated_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation.
 
-    Equal values are counted first; the two values a percentile lies between
-    follow from running counts over the distinct values, which are cut into
-    spans of their range, so no group has to fit into one task.
+    Equal values are counted first. Distinct values are dealt by ranges of about equal numbers of
+    rows, whatever their spread, and the two values a percentile lies between are looked for only
+    in the parts whose row counts say that they hold them. One job runs while the plan is built; no
+    group has to fit into one task.
     """
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    low, high = counted.agg(F.min("_v"), F.max("_v")).first()
-    span = max(((high or 0.0) - (low or 0.0)) / 256, 1e-9)
-    running = carry_sum(counted, keys, ["_v"], {"_upto": F.col("_n")}, span=span)
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    ranked = running.join(totals, keys)
+    dealt = cut(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"), F.min("_v").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *keys,
+        "_part",
+        "_rows",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_all"),
+    )
+    places = [F.lit(float(p)) * (F.col("_all") - 1) for p in points]
+    ranks = [rank for place in places for rank in (F.floor(place), F.ceil(place))]
+    wanted = functools.reduce(operator.or_, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")) for r in ranks])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(parts.filter(wanted), [*keys, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
     picks = []
-    for i, p in enumerate(points):
-        place = F.lit(float(p)) * (F.col("_all") - 1)
+    for i, place in enumerate(places):
         for name, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
             held = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
             picks.append(F.max(F.when(held, F.col("_v"))).alias(f"_{name}{i}"))
         picks.append(F.max(place - F.floor(place)).alias(f"_w{i}"))
+    low, high, share = (lambda i: F.col(f"_a{i}")), (lambda i: F.col(f"_b{i}")), (lambda i: F.col(f"_w{i}"))
     return ranked.groupBy(*keys).agg(*picks).select(
         *keys,
         *[
-            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}")).alias(f"p{round(p * 100)}")
+            # equal neighbours need no step, which also keeps infinite ones
+            F.when((low(i) == high(i)) | (share(i) == 0), low(i)).otherwise(low(i) + (high(i) - low(i)) * share(i)).alias(f"p{round(p * 100)}")
             for i, p in enumerate(points)
         ],
     )
