@@ -5,7 +5,10 @@ opens archives by path and walks them record by record with bounded memory: memb
 in small pieces, the header is read up to its blank line, the block is framed by Content-Length,
 and the block is checked against its digest. A record cut off at the end of a file, or one whose
 framing or digest is wrong, is returned with ``valid`` false and a reason, and reading goes on with
-the next member.
+the next member; after broken compressed data, with the next gzip header that opens a record.
+
+Edge cases: null html is an empty payload; a payload of any length is one record; rows that repeat the
+id of a response are responses too; an empty table gives no archive and no record.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from trackloom.session import cut, scratch_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PIECE = 1 << 16
+MAGIC, OPENING = b"\x1f\x8b\x08", b"WARC/"
 RECORD = (
     "archive string, position bigint, record_type string, page_id string, refers_to string, url string, "
     "payload_digest string, payload_bytes bigint, payload binary, valid boolean, fault string"
@@ -128,31 +132,63 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return written(rows.mapInArrow(write, "archive string, n_records bigint"), "archives")
 
 
+def next_record(data: bytes, stream) -> bytes:
+    """Raw bytes from the next gzip header on that opens a WARC record; empty where there is none."""
+    while True:
+        at = data.find(MAGIC)
+        if at < 0:
+            more = stream.read(PIECE)
+            if not more:
+                return b""
+            data = data[-2:] + more
+            continue
+        data = data[at:]
+        try:
+            head = zlib.decompressobj(31).decompress(data, len(OPENING))
+        except zlib.error:
+            head = None
+        if head is not None and len(head) < len(OPENING) and OPENING.startswith(head):
+            more = stream.read(PIECE)
+            if more:
+                data += more
+                continue
+            if head:
+                return data  # a record that is cut off
+        if head == OPENING:
+            return data
+        data = data[1:]
+
+
 def members(stream) -> Iterator[tuple[bytes, str | None]]:
-    """Inflated content of each gzip member, piece by piece read, one record held at a time."""
-    data, ended = b"", False
+    """Inflated content of each gzip member, piece by piece read, one record held at a time.
+
+    After a damaged member, also one whose damage shows only later or at the end of the file, reading
+    goes on with the next header behind its own that opens a record.
+    """
+    data = b""
     while True:
         if not data:
             data = stream.read(PIECE)
             if not data:
                 return
-        unzip, parts, fault = zlib.decompressobj(31), [], None
+        unzip, parts, raw, fault = zlib.decompressobj(31), [], [data], None
         while not unzip.eof:
             if not data:
                 data = stream.read(PIECE)
+                raw.append(data)
                 if not data:
-                    fault, ended = "cut off", True
+                    fault = "cut off"
                     break
             try:
                 parts.append(unzip.decompress(data, PIECE))
             except zlib.error as error:
-                fault, ended = f"not gzip: {error}", True
+                fault = f"not gzip: {error}"
                 break
             data = unzip.unconsumed_tail
         yield b"".join(parts), fault
-        if ended:
+        data = unzip.unused_data if not fault else next_record(b"".join(raw)[1:], stream)
+        if fault and not data:
             return
-        data = unzip.unused_data
 
 
 def parse_record(content: bytes, fault: str | None) -> dict:
