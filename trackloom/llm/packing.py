@@ -11,8 +11,10 @@ Pieces are numbered within their length in parallel: rows are dealt into buckets
 ``BUCKET_ROWS`` rows, numbered inside them, and lifted by the rows of earlier buckets, so one
 length may hold all rows. A number tells pattern, copy and place by a search in the plan.
 
-Texts are encoded word by word: the vocabulary drops white space and no token reaches across it, so
-the ids of a text are those of its words in order. A worker remembers up to twice ``CACHE_WORDS`` words.
+Texts are encoded by parts: the vocabulary drops white space and keeps letters, single digits and other
+signs apart, so the ids of a text are those of its parts in order. Texts with characters beyond
+Latin letters are encoded by the words between white space, to which the same applies. A worker
+remembers up to twice ``CACHE_WORDS`` parts.
 
 Edge cases: null and empty texts are the end id alone; a text of any length is encoded whole and cut
 after ``size`` ids; repeated rows and ids are packed each on its own; a null length or one outside
@@ -23,6 +25,7 @@ input are kept, but ``sequence_id`` and ``offset`` are replaced.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,10 +40,14 @@ from trackloom.llm.common import rows_of, sliced, written
 
 SIZE = 2048
 BUCKET_ROWS = 20_000
-#: A worker remembers the words of one to two such counts, of at most LONGEST_WORD bytes: up to 250 MB.
-CACHE_WORDS = 500_000
-LONGEST_WORD = 64
+#: A worker remembers one to two such counts of parts, none longer than LONGEST: about 100 MB.
+CACHE_WORDS = 300_000
+LONGEST = 64
 END = 0
+#: Texts of printable ASCII and the accented letters of Latin-1, which their normal form leaves as they are,
+#: fall into the parts below before the vocabulary is asked; its own rule for parts says the same of them.
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \t-\ra-zà-öø-ÿß0-9]+")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -148,27 +155,37 @@ def encoder(vocabulary: str) -> tuple:
 def encode(texts: list[str | None], vocabulary: str) -> list[bytes]:
     """Ids of each whole text as little-endian 32-bit numbers, without special tokens."""
     tokenizer, known, earlier = encoder(vocabulary)
-    split = [(text or "").encode().split() for text in texts]
-    if len(known) > CACHE_WORDS:  # words not met since the last time are forgotten
+    split = []
+    for text in texts:
+        text = text or ""
+        plain = PLAIN.fullmatch(text) and "<|" not in text
+        split.append(PART.findall(text.lower()) if plain else text.encode().split())
+    if len(known) > CACHE_WORDS:  # parts not met since the last time are forgotten
         earlier.clear()
         earlier.update(known)
         known.clear()
     asked = set().union(*split).difference(known)
-    known.update((w, earlier[w]) for w in asked.intersection(earlier))
-    asked = list(asked.difference(known))
-    rare = {}
-    for at in range(0, len(asked), 4096):
-        some = asked[at : at + 4096]
-        found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        for word, one in zip(some, found, strict=True):
-            value = struct.pack(f"<{len(one.ids)}I", *one.ids)
-            if len(word) <= LONGEST_WORD:
-                known[word] = value
-            else:
-                rare[word] = value
+    known.update((x, earlier[x]) for x in asked.intersection(earlier))
+    asked.difference_update(known)
+    rare, others = {}, []
+    tokenize = tokenizer.model.tokenize
+    for part in asked:
+        if isinstance(part, str) and part.isascii():
+            keep(part, [token.id for token in tokenize(part)], known, rare)
+        else:
+            others.append(part)
+    for at in range(0, len(others), 4096):
+        some = others[at : at + 4096]
+        bodies = [x if isinstance(x, str) else x.decode() for x in some]
+        for part, found in zip(some, tokenizer.encode_batch_fast(bodies, add_special_tokens=False), strict=True):
+            keep(part, found.ids, known, rare)
     if rare:
-        return [b"".join([rare[w] if len(w) > LONGEST_WORD else known[w] for w in words]) for words in split]
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join([rare[x] if len(x) > LONGEST else known[x] for x in parts]) for parts in split]
+    return [b"".join(map(known.__getitem__, parts)) for parts in split]
+
+
+def keep(part: str | bytes, ids: list[int], known: dict, rare: dict) -> None:
+    (known if len(part) <= LONGEST else rare)[part] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 def vocabulary_of(path: str | None = None) -> str:
