@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.session import cut
+
 
 def apply_model(
     df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str
@@ -26,26 +29,71 @@ def apply_model(
     return df.mapInPandas(run, schema)
 
 
-def isolated(df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], key: str) -> DataFrame:
-    """Run a step on the rows of each key; a failure becomes a status row of that key.
+def isolated(df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], key: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(results, status): run a step on the rows of each key; a failure stops that key and no other.
 
-    Rows are handled per key within each Arrow batch, so no key is gathered
-    as a whole; a key has one status row per batch it appears in.
+    The step gets rows of one key, as many as come together, and gives rows of ``schema``; a hot key is
+    never gathered, so a step must not need all rows of its key at once. A key is ``ok`` or ``failed``
+    as a whole: once a part fails, none of its results are returned, and its status tells the
+    error. What the step gave is written to the shared folder while the plan is built, so that
+    results and status come from one run of it.
     """
     kind = df.schema[key].dataType
+    result = T._parse_datatype_string(schema)
+    names = result.fieldNames()
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for value, part in batch.groupby(key, sort=False):
+            for value, part in batch.groupby(key, sort=False, dropna=False):
+                own = None if pd.isna(value) else value
                 try:
-                    step(part)
-                    rows.append((value, "ok", None))
+                    found = step(part)[names].to_dict("records")
+                    rows = [(own, None, row) for row in found] or [(own, None, None)]
                 except Exception as error:  # a bad source must not stop the others
-                    rows.append((value, "failed", f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=[key, "status", "error"])
+                    rows = [(own, f"{type(error).__name__}: {error}", None)]
+                yield pd.DataFrame(rows, columns=["key", "error", "result"])
 
-    schema = T.StructType(
-        [T.StructField(key, kind), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())]
+    out = T.StructType([T.StructField("key", kind), T.StructField("error", T.StringType()), T.StructField("result", result)])
+    ran = cut(df.mapInPandas(run, out))
+    told = F.min("error").alias("error")
+    status = ran.groupBy("key").agg(told).select(
+        F.col("key").alias(key), F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error"
     )
-    return df.mapInPandas(run, schema)
+    failed = ran.filter("error is not null").select(F.col("key").alias("_failed")).distinct()
+    good = ran.filter("result is not null").join(failed, F.col("key").eqNullSafe(F.col("_failed")), "left_anti")
+    return good.select(F.col("key").alias(f"{key}"), *[F.col("result")[n].alias(n) for n in names if n != key]), status
+
+
+def read_by(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, *, reading: str = "reading") -> DataFrame:
+    """``df`` with a struct (is_available, error, result): a reader whose failures are data.
+
+    ``load`` builds the reader once per partition and may fail, which makes it unavailable for the rows
+    of that partition. A reader that fails on a batch is asked row by row, so only the rows at fault
+    carry its error; such rows have no result.
+    """
+    result = T._parse_datatype_string(schema)
+    names = result.fieldNames()
+    struct = T.StructType(
+        [T.StructField("is_available", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("result", result)]
+    )
+
+    def reason(error: Exception) -> str:
+        return f"{type(error).__name__}: {error}"
+
+    def ask(reader, batch):
+        try:
+            return [{"is_available": True, "error": None, "result": row} for row in reader(batch)[names].to_dict("records")]
+        except Exception as error:
+            if len(batch) == 1:
+                return [{"is_available": True, "error": reason(error), "result": None}]
+            return [x for i in range(len(batch)) for x in ask(reader, batch.iloc[i : i + 1])]
+
+    def run(batches):
+        try:
+            reader, missing = load(), None
+        except Exception as error:
+            reader, missing = None, {"is_available": False, "error": reason(error), "result": None}
+        for batch in batches:
+            yield batch.assign(**{reading: [missing] * len(batch) if reader is None else ask(reader, batch)})
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(reading, struct)]))

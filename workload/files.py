@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.operators import datasets as D
@@ -287,22 +288,47 @@ def l1(spark, sf):
 
 @query(
     "l2_isolated_sources",
-    """SELECT source_id, CASE WHEN source_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM det GROUP BY 1""",
+    """SELECT source_id, CASE WHEN source_id % 5 = 0 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN source_id % 5 = 0 THEN 'ValueError: no frames' END AS error,
+       CASE WHEN source_id % 5 > 0 THEN count(*) END AS results, CASE WHEN source_id % 5 > 0 THEN sum(k) END AS total FROM det GROUP BY 1""",
 )
 def l2(spark, sf):
-    """A user step that fails for some sources leaves a status row, not a failed job."""
+    """A user step that fails for some sources leaves a status, not a failed job; the others keep their results."""
     from trackloom.plans.extensions import isolated
 
-    def step(batch):
-        bad = batch["source_id"] % 5 == 0
-        if bad.any():
+    def step(rows):
+        if (rows["source_id"] % 5 == 0).any():
             raise ValueError("no frames")
-        return batch
+        return rows.assign(score=rows["k"])
+
+    rows = detections(spark, sf).select("source_id", "event_id", "k")
+    results, status = isolated(rows, step, "source_id", "event_id bigint, score bigint")
+    counted = results.groupBy("source_id").agg(F.count("event_id").alias("results"), F.sum("score").alias("total"))
+    return status.join(counted, "source_id", "left")
 
-    rows = detections(spark, sf).select("source_id", "event_id")
-    statuses = isolated(rows, step, "source_id")
-    return statuses.groupBy("source_id").agg(
-        F.when(F.max((F.col("status") == "failed").cast("int")) == 1, "failed").otherwise("ok").alias("status")
-    )
 
+@query(
+    "l3_text_reader",
+    """SELECT event_id, k % 9 > 0 AS has_result, CASE WHEN k % 9 = 0 THEN 'RuntimeError: blurred' END AS error,
+       CASE WHEN k % 9 > 0 THEN upper(class_name) END AS text, CASE WHEN k % 9 > 0 THEN k / 100::DOUBLE END AS text_confidence FROM det""",
+)
+def l3(spark, sf):
+    """A user's text reader: rows on which it fails carry its error and no result."""
+    from trackloom.plans.extensions import read_by
 
+    def load():
+        def reader(batch):
+            if (batch["k"] % 9 == 0).any():
+                raise RuntimeError("blurred")
+            return pd.DataFrame({"text": batch["class_name"].str.upper(), "confidence": batch["k"] / 100})
+
+        return reader
+
+    read = read_by(detections(spark, sf).select("event_id", "class_name", "k"), load, "text string, confidence double")
+    return read.select(
+        "event_id",
+        F.col("reading.result").isNotNull().alias("has_result"),
+        "reading.error",
+        "reading.result.text",
+        F.col("reading.result.confidence").alias("text_confidence"),
+    )
