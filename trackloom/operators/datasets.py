@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import fixed
 from trackloom.functions.classes import category_token
-from trackloom.functions.geometry import normalised_box, normalised_polygon
+from trackloom.functions.geometry import normalised_box, normalised_polygon, parse_points
 from trackloom.functions.text import basename, hash_split, stem
 
 
@@ -140,8 +140,11 @@ def convert_polygons(
 ) -> DataFrame:
     """Polygons as label lines, split by whole scenes.
 
-    Needs scene, name, pos, class_id, points, width, height.
+    Needs scene, name, pos, class_id, width, height and the corners, as ``points`` or, as
+    :func:`trackloom.sources.files.read_cvat` gives them, as ``points_text``.
     """
+    if "points" not in polygons.columns:
+        polygons = polygons.withColumn("points", parse_points(F.col("points_text")))
     n = normalised_polygon(F.col("points"), F.col("width"), F.col("height"))
     flat = F.flatten(F.transform("_n", lambda p: F.array(p["x"], p["y"])))
     return (
