@@ -1,9 +1,10 @@
 """Detections, readings and texts derived from the given tables.
 
 The tables hold no detections, so each user is read as a tracked object and
-each half day as a frame; the last event of an object within a frame is its
-observation. Eight neighbouring users form a source, so that sources grow in
-number with the data. ``SQL_VIEWS`` states the same views for DuckDB.
+each of its events as an observation. A user's frames go on by one from event
+to event and by one more for every half day that begins between them, so quiet
+times are gaps. Eight neighbouring users form a source, so that sources grow
+in number with the data. ``SQL_VIEWS`` states the same views for DuckDB.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.keyed import carry_sum
+
 EPOCH_US = 1704067200000000
 FRAME_US = 43200000000
 FRAME_WIDTH, FRAME_HEIGHT = 640, 480
@@ -49,8 +52,9 @@ SQL_VIEWS = {
                CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
         FROM events""",
     "seen": """
-        SELECT * FROM ev
-        QUALIFY row_number() OVER (PARTITION BY u, f ORDER BY us DESC, event_id DESC) = 1""",
+        SELECT event_id, u, event_type, value, us, k,
+               f + row_number() OVER (PARTITION BY u ORDER BY us, event_id) - 1 AS f
+        FROM ev""",
     "det": f"""
         SELECT u // 8 AS source_id, 't' || u AS stable_id, u AS det_index, f AS frame_index,
                CAST(f AS DOUBLE) * 0.5::DOUBLE AS timestamp_s,
@@ -106,13 +110,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation per object and frame, keyed by source and object."""
-    seen = (
-        events(spark, sf_dir)
-        .groupBy("u", "f")
-        .agg(F.max(F.struct("us", "event_id", "event_type", "value", "k")).alias("e"))
-        .select("u", "f", "e.event_id", "e.event_type", "e.value", "e.k")
-    )
+    """One observation per object and frame, keyed by source and object; every event is one."""
+    seen = carry_sum(events(spark, sf_dir), ["u"], ["us", "event_id"], {"n": F.lit(1)}, span=4 * FRAME_US)
+    seen = seen.withColumn("f", F.col("f") + F.col("n") - 1)
     u, f, k = F.col("u"), F.col("f"), F.col("k")
     left = (u * 97) % 560 + k % 7
     top = (u * 53) % 300 + k % 5
