@@ -168,3 +168,9 @@ def test_similar_texts_ask_the_ratio_only_within_bounds(spark, tmp_path):
     shared = spark.createDataFrame([(a, b) for a, b in rows if a is not None and b is not None], "a string, b string")
     for r in shared.select("a", "b", vectorized.shared_characters(F.col("a"), F.col("b")).alias("n")).collect():
         assert r.n == sum(min(r.a.count(c), r.b.count(c)) for c in set(r.a))
+
+
+def test_both_sides_may_come_from_one_table(spark):
+    lines = spark.createDataFrame([(1, 0, "abc"), (1, 1, "abd"), (1, 1, "xyz"), (2, 0, "q")], "source_id int, pos int, text string")
+    got = least_edit_distance(lines.filter("pos = 0").select("source_id", "text"), lines.filter("pos = 1").select("source_id", "text"))
+    assert sorted((r.text, round(r.distance, 6)) for r in got.collect()) == [("abc", 0.333333), ("q", 1.0)]

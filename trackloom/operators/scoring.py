@@ -221,15 +221,14 @@ def least_edit_distance(
     equi-join. For the rest the search grows: within a share r of edits only texts of a length between
     (1 - r) and 1 / (1 - r) of the own one can lie, so these meet by key and length, and their distance is
     computed up to that bound only. A text that found one leaves; what is left after the last radius
-    meets all texts of its key. Jobs run between the rounds.
+    meets all texts of its key. Jobs run while the plan is built.
     """
     keys = list(keys)
-    wanted = expected.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("times"))
+    wanted = cut(expected.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("times")))
     offered = cut(predicted.select(*keys, F.col("text").alias("other")).distinct().withColumn("_size", F.char_length("other")))
-    exact = wanted.join(
-        offered, (wanted.text == offered.other) & _same(wanted, offered, keys), "left_semi"
-    ).withColumn("distance", F.lit(0.0))
-    rest = cut(wanted.join(exact.select(*keys, "text"), [*keys, "text"], "left_anti"))
+    equal = offered.select(*keys, F.col("other").alias("text"))
+    exact = wanted.join(equal, [*keys, "text"], "left_semi").withColumn("distance", F.lit(0.0))
+    rest = wanted.join(equal, [*keys, "text"], "left_anti")
     longest = F.greatest(F.char_length("text"), F.char_length("other"), F.lit(1))
     found = [exact]
     for radius in (*RADII, None):
@@ -242,9 +241,10 @@ def least_edit_distance(
             # the bound of a plan must be one number; a greater distance than that of the pair is dropped after it
             near = pairs.withColumn("_edits", _edits_within(radius)).filter((F.col("_edits") >= 0) & (F.col("_edits") <= longest * radius))
         near = near.groupBy(*keys, "text", "times").agg(F.min(F.col("_edits") / longest).alias("distance"))
-        near = cut(near)
+        if radius is not None:
+            near = cut(near)
         found.append(near)
-        rest = cut(rest.join(near.select(*keys, "text"), [*keys, "text"], "left_anti"))
+        rest = rest.join(near.select(*keys, "text"), [*keys, "text"], "left_anti")
     found.append(rest.withColumn("distance", F.lit(1.0)))
     return functools.reduce(DataFrame.unionByName, found)
 
@@ -259,13 +259,6 @@ def _edits_within(radius: float) -> Column:
     return edits
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & (a[k] == b[k])
-    return condition
-
-
 def forbidden_narrations(
     narrations: DataFrame, rules: DataFrame, *, keys: Sequence[str] = SOURCE
 ) -> DataFrame:

@@ -445,7 +445,7 @@ def c16(spark, sf):
     """
 plain AS (SELECT source_id, pos, regexp_replace(text, '[^ -~]', '#', 'g') || (k % 7) AS text FROM reads),
 wanted AS (SELECT source_id, text, count(*) AS times FROM plain WHERE pos = 0 GROUP BY ALL),
-offered AS (SELECT DISTINCT source_id, text FROM plain WHERE pos = 2)
+offered AS (SELECT DISTINCT source_id, text FROM plain WHERE pos > 0)
 SELECT w.source_id, w.text, w.times, round(coalesce(min(levenshtein(w.text, o.text)
          / greatest(length(w.text), length(o.text), 1)::DOUBLE), 1), 6) AS distance
 FROM wanted w LEFT JOIN offered o USING (source_id) GROUP BY 1, 2, 3""",
@@ -455,7 +455,7 @@ def c17(spark, sf):
         "text",
         F.concat(F.regexp_replace("text", "[^ -~]", "#"), (F.col("k") % 7).cast("string")),
     )
-    nearest = K.least_edit_distance(lines.filter("pos = 0"), lines.filter("pos = 2"))
+    nearest = K.least_edit_distance(lines.filter("pos = 0"), lines.filter("pos > 0"))
     return nearest.withColumn("distance", F.round("distance", 6))
 
 
