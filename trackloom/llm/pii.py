@@ -301,10 +301,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def fit(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Model from a bounded sample: at most ``sample_rows`` documents, of them as many pieces of text.
+    """Model from a bounded sample: at most ``sample_rows`` different texts, of them as many pieces of text.
 
-    Documents and pieces are taken in the order of their hashes. A piece holds up to ten candidates
-    and what stands between them, at most 2,000 characters.
+    Texts and pieces are taken in the order of their hashes. Only hashes are sorted; the texts are then
+    picked where they lie, by the last hash that is in. A piece holds up to ten candidates and what
+    stands between them, at most 2,000 characters.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +319,12 @@ def fit(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS
             yield pa.RecordBatch.from_pydict({"piece": pa.array(out, pa.string())})
 
     rows = documents.select(F.col(text).cast("string").alias("body")).where(F.col("body").rlike("[0-9@]"))
-    sample = rows.orderBy(F.xxhash64("body"), "body").limit(sample_rows).mapInArrow(pieces, "piece string")
+    hashes = rows.select(F.xxhash64("body").alias("h")).distinct().orderBy("h").limit(sample_rows)
+    last = hashes.agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return train([])
+    chosen = rows.select("body", F.xxhash64("body").alias("h")).where(F.col("h") <= last).dropDuplicates(["h"])
+    sample = chosen.select("body").mapInArrow(pieces, "piece string")
     sample = sample.orderBy(F.xxhash64("piece"), "piece").limit(sample_rows)
     return train([r[0] for r in sample.collect()])
 
