@@ -75,6 +75,18 @@ def test_versions_share_what_they_do_not_change():
         assert merkle.lift(sha("x"), merkle.path(tree, 4, i)) == merkle.put(tree, 4, i, sha("x"))[0]
 
 
+def test_every_leaf_is_folded_over_its_own_siblings():
+    leaves = [sha(str(i)) for i in range(5)]
+    tree, above = merkle.build(leaves, 3), "r" + sha("beside") + "l" + sha("before")
+    for i in range(5):
+        steps = merkle.path(tree, 3, i) + above
+        for other in (None, leaves[i], sha("x")):
+            assert merkle.folded_root(tree, 3, i, other, steps) == merkle.lift(leaves[i] if other is None else other, steps)
+        bad = steps[: -merkle.STEP] + "l" + sha("forged")
+        assert merkle.folded_root(tree, 3, i, None, bad) != merkle.lift(leaves[i], steps)
+    assert merkle.folded_root(tree, 3, 0, None, "r" + sha("forged") + merkle.path(tree, 3, 0)[merkle.STEP :]) != tree[0]
+
+
 @pytest.mark.parametrize("bits", [1, 2, 10])
 def test_manifest_matches_plain_tree(spark, monkeypatch, bits):
     rng = random.Random(bits)

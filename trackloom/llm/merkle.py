@@ -65,6 +65,12 @@ def put(root: Node, height: int, index: int, leaf: str) -> Node:
     return parent(put(left, height - 1, index, leaf), right)
 
 
+def leaf_at(root: Node, height: int, index: int) -> str:
+    for level in range(height - 1, -1, -1):
+        root = root[2] if index >> level & 1 else root[1]
+    return root[0]
+
+
 def path(root: Node, height: int, index: int) -> str:
     """Siblings of a leaf and of its ancestors, from the leaf up."""
     steps = []
@@ -87,6 +93,17 @@ def lift(node: str, steps: str) -> str:
     return node
 
 
+def folded_root(tree: Node, height: int, index: int, changed: str | None, steps: str) -> str:
+    """Root recomputed from a leaf and the siblings of ``steps``, or from the leaf of its own version.
+
+    A changed leaf is folded through the version that path copying makes of the block, then above it.
+    An unchanged one is folded over all its siblings, so a wrong step shows in its root too.
+    """
+    if changed is None:
+        return lift(leaf_at(tree, height, index), steps)
+    return lift(put(tree, height, index, changed)[0], steps[height * STEP :])
+
+
 def height_of(nodes: int, bits: int) -> int:
     """Levels inside a block of a tree that has ``nodes`` nodes at the level of the block's leaves."""
     return min(bits, (nodes - 1).bit_length())
@@ -216,10 +233,7 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: Column, changed: Colum
                 height = height_of(n, bits)
                 tree = build(hashes, height)
                 paths = [path(tree, height, i) + above for i in range(len(hashes))]
-                folded = []
-                for i, (own, other) in enumerate(zip(hashes, others, strict=True)):
-                    version = tree if other is None or other == own else put(tree, height, i, other)
-                    folded.append(root if version is tree else lift(version[0], above))
+                folded = [folded_root(tree, height, i, other, steps) for i, (other, steps) in enumerate(zip(others, paths, strict=True))]
                 same = [pa.array([x] * len(hashes)) for x in (subroot, root)]
                 yield pa.RecordBatch.from_arrays(
                     [items.field("key"), pa.array(hashes), *same, pa.array(paths), pa.array(folded)],
