@@ -9,9 +9,10 @@ from trackloom.functions import fixed
 from trackloom.functions.strings import strip
 from trackloom.functions.text import basename
 from trackloom.operators.datasets import last_per_key
-from trackloom.sources import schemas
-
+from trackloom.sources import schemas, trees
 
+#: frames of a source that one task writes
+LOG_FRAMES = 100_000
 
 # --- frame logs ------------------------------------------------------------------------
 
@@ -51,8 +52,14 @@ def frame_records(frames: DataFrame, detections: DataFrame, **parts: DataFrame)
 
 
 def write_frames(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per frame, one folder per source; nulls are left out."""
-    records.write.mode(mode).partitionBy("source_id").json(path)
+    """One JSON object per frame, one folder per source; nulls are left out.
+
+    A source is one file for every ``LOG_FRAMES`` frames, more only where a task ends, so no source has to fit in one task.
+    """
+    record = F.to_json(F.struct(*[c for c in records.columns if c != "source_id"]))
+    rows = records.select("source_id", "frame_index", record.alias("line"))
+    chunk = F.floor(F.col("frame_index") / LOG_FRAMES)
+    trees.write_lines(rows, path, ["source_id"], "line", order=["frame_index"], spread=[chunk], mode=mode, suffix=".json")
 
 
 def detections_of(frames: DataFrame) -> DataFrame:
@@ -195,12 +202,7 @@ def list_assets(
     spark: SparkSession, root: str, suffixes=fixed.IMAGE_SUFFIXES, skip=fixed.MASK_DIR_NAMES
 ) -> DataFrame:
     """Files below a folder by suffix, without mask folders; contents are not read."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "length", "modificationTime")
-    )
+    found = trees.files_below(spark, root)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     folders = F.split(F.lower("path"), "/")
     return found.filter(
@@ -209,26 +211,26 @@ def list_assets(
 
 
 def checksum_assets(spark: SparkSession, root: str) -> DataFrame:
-    """Path, name, length and SHA-1 of every file below a folder (files under 2 GB)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(
-            "path", basename(F.col("path")).alias("name"), "length", F.sha1("content").alias("sha1")
-        )
-    )
+    """Path, name, length and SHA-1 of every file below a folder."""
+    found = trees.digests(trees.files_below(spark, root), root)
+    return found.select("path", basename(F.col("path")).alias("name"), "length", "sha1")
 
 
 def write_label_files(converted: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Label lines per image below ``split=.../stem=...``, in the order of the shapes.
+    """One file of label lines per image below ``split=.../stem=...``, in the order of the shapes.
 
     Refuses to overwrite unless told to by ``mode``.
     """
-    lines = converted.filter("line is not null")
-    # all shapes of an image are few; one sorted run per image keeps their order
-    ordered = lines.repartition("split", "stem").sortWithinPartitions("split", "stem", "pos")
-    ordered.select("split", "stem", "line").write.mode(mode).partitionBy("split", "stem").text(path)
+    trees.write_lines(converted.filter("line is not null"), path, ["split", "stem"], "line", order=["pos"], mode=mode)
+
+
+def read_label_files(spark: SparkSession, path: str) -> DataFrame:
+    """(split, stem, pos, line) of label files written by :func:`write_label_files`."""
+    lines = trees.lines_of(trees.files_below(spark, path), path)
+    value = {k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1) for k in ("split", "stem")}
+    # names are escaped by hundredths; a plus sign is one
+    plain = {k: F.when(v != trees.NULL_NAME, F.url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))) for k, v in value.items()}
+    return lines.select(*[v.alias(k) for k, v in plain.items()], "pos", "line")
 
 
 def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

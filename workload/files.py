@@ -184,11 +184,7 @@ def a7(spark, sf):
 def a9(spark, sf):
     path = scratch_path(spark, "labels")
     FI.write_label_files(converted_labels(spark, sf), path)
-    return (
-        spark.read.text(path)
-        .groupBy("stem")
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
+    return FI.read_label_files(spark, path).groupBy("stem").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def converted_labels(spark, sf):
