@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.session import scratch_path
+from trackloom.session import scratch_path, tasks
 
 NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 _ESCAPED = {*map(chr, range(32)), *"\"#%'*/:=?\\{[]^\x7f"}
@@ -40,11 +40,6 @@ def located(path: str) -> tuple[pafs.FileSystem, str, str]:
     return store, base, path[: path.rindex(base)]
 
 
-def tasks(spark: SparkSession) -> int:
-    """A stated number of partitions, as adaptive execution would merge the few bytes of many files into one task."""
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def folder_name(key: str, value: str | None) -> str:
     if not value:
         return f"{key}={NULL_NAME}"
