@@ -108,3 +108,11 @@ def test_odd_rows(spark, odd, nothing):
     assert lm.score(nothing).collect() == []
     unlearned = lm.score(odd.where("doc_id = 5 AND false").union(odd.where("doc_id IS NULL"))).collect()
     assert len(unlearned) == 2
+
+
+def test_looked_up_finds_what_a_search_of_each_key_finds():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 500))
+    values, wanted = rng.random(len(keys)), rng.choice(keys, 4000)
+    assert (lm.looked_up(keys, values, wanted) == values[np.searchsorted(keys, wanted)]).all()
+    assert lm.looked_up(keys, values, keys[:1]).tolist() == values[:1].tolist()

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,16 @@ def window_counts(texts: list[bytes], train: list[bool], depth: int) -> tuple[np
     return merged(keys, counts)
 
 
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of keys, all of them among the sorted ``keys``; each distinct one is searched for once, in order."""
+    order = np.argsort(wanted)
+    ordered = wanted[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.empty(len(wanted), values.dtype)
+    out[order] = np.repeat(values[np.searchsorted(keys, ordered[first])], np.diff(first, append=len(wanted)))
+    return out
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by 8; exact to 1e-11 for x >= 1/2."""
     shift = np.zeros_like(x)
@@ -331,8 +342,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
         n_tokens = int(np.searchsorted(place, 0))
         gain, told = value[n_tokens:] / SCALE, value[:n_tokens][::-1]
         count = told >> 1
-        part_of = np.log10(count + 1).tolist()
-        count = count.tolist()
+        part_of, learned = np.log10(count + 1), (count > 0).astype(np.int64)
         rows = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
         held_lists = left.filter(pc.is_valid(left.column("windows")))
         (windows,), (tokens,) = (held_lists.column(c).to_pylist() for c in ("windows", "tokens"))
@@ -343,15 +353,19 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
             texts = [t for _, t in items]
             for a, b in parts(texts):
                 found, starts = text_windows(texts[a:b], depth)
-                sums = np.add.reduceat(gain[np.searchsorted(win, found)], starts)
-                for (name, t), total in zip(items[a:b], sums.tolist(), strict=True):
+                sums = np.add.reduceat(looked_up(win, gain, found), starts)
+                words = [t.split() for t in texts[a:b]]
+                edges = np.cumsum([0, *map(len, words)])
+                own = np.fromiter(map(at.__getitem__, chain.from_iterable(words)), np.int64, edges[-1])
+                met, logs = np.concatenate([[0], np.cumsum(learned[own])])[edges].tolist(), part_of[own]
+                edges = edges.tolist()
+                for i, ((name, t), total) in enumerate(zip(items[a:b], sums.tolist(), strict=True)):
                     named, held = name.rsplit("|", 1)
-                    own = [at[x] for x in t.split()]
                     rows["doc_id"].append(named[1:] if named else None)
                     rows["held_out"].append(held == "1")
-                    rows["n_tokens"].append(len(own) + 1)
-                    rows["n_known"].append(sum(1 for i in own if count[i]) + (ends > 0))
-                    rows["logs"].append(math.fsum([part_of[i] for i in own]) + math.log10(ends + 1))
+                    rows["n_tokens"].append(edges[i + 1] - edges[i] + 1)
+                    rows["n_known"].append(met[i + 1] - met[i] + (ends > 0))
+                    rows["logs"].append(math.fsum(logs[edges[i] : edges[i + 1]].tolist()) + math.log10(ends + 1))
                     rows["score"].append(total)
                     rows["bits_per_byte"].append(-total / math.log10(2) / (len(t) + 1))
         n = len(rows["doc_id"])
