@@ -109,3 +109,19 @@ def test_throttle_on_regular_and_irregular_clocks(spark):
             got.setdefault(r.key, []).append(r.t)
         for k, ts in enumerate((regular, irregular, bursts)):
             assert sorted(got[k]) == naive.throttle(ts, interval), (k, interval, span)
+
+
+def test_flags_of_turns_are_read_once(spark, tmp_path):
+    from trackloom.operators.turns import endpoint_turns
+
+    read = tmp_path / "read"
+
+    def watched(batches):
+        with open(read, "a") as log:
+            log.write(".")
+        yield from batches
+
+    flags = spark.range(0, 4000, 1, 1).selectExpr("1 as session_id", "id as seq", "id % 200 < 100 as is_speech")
+    turns = endpoint_turns(flags.mapInPandas(watched, flags.schema), span=500)
+    assert turns.filter("kind = 'turn'").count() == 20
+    assert len(read.read_text()) == 1

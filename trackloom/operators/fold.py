@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackloom.operators.keyed import CHUNK, DEFAULT_SPAN, chunk_of
-from trackloom.session import cut
+from trackloom.session import cut, tasks
 
 
 class Step(Protocol):
@@ -124,7 +124,7 @@ def _walk(
     schema = T.StructType([*key_fields, *extra])
     lined_up = (
         body.unionByName(heads)
-        .repartition(*keys, CHUNK)
+        .repartition(tasks(rows.sparkSession), *keys, CHUNK)
         .sortWithinPartitions(*keys, CHUNK, "_kind", *order)
     )
     return lined_up.mapInArrow(

@@ -11,6 +11,7 @@ from trackloom.functions.text import tokens
 from trackloom.operators.fold import fold
 from trackloom.operators.keyed import carry_last
 from trackloom.operators.steps import Turns
+from trackloom.session import cut
 
 #: flags per chunk of the turn fold (20 ms each: about twenty minutes)
 TURN_SPAN = 60_000
@@ -34,7 +35,8 @@ def endpoint_turns(
     early point whose pause ran through to the end of the turn.
     """
     step = Turns(silence_ms, prefix_ms, min_speech_ms, max_utterance_ms, speculative_ms)
-    return fold(runs_of_flags(flags, keys, span=span), keys, ["seq"], step, span=span)
+    # every round of the fold reads the runs, which are far fewer than the flags
+    return fold(cut(runs_of_flags(flags, keys, span=span)), keys, ["seq"], step, span=span)
 
 
 def runs_of_flags(flags: DataFrame, keys: Sequence[str], *, span: int = TURN_SPAN) -> DataFrame:
