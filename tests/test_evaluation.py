@@ -46,3 +46,12 @@ def test_many_keys_are_handed_over_together(spark):
     out = match_within(t, p, tolerance=2, keys=["k", "s"])
     got = [(repr(r.k), r.s, r.truth_id, r.predicted_id, r.distance) for r in out.collect()]
     assert sorted(got) == sorted((repr(k), "a", 0, 7, 1) for k in keys)
+
+
+def test_tables_of_frames_are_not_broadcast(spark):
+    """Files of a written table are a small part of what its rows take in memory."""
+    _, run, truth = scored_run(spark, SF)
+    labels = EV.R.labels_by_frame(truth.states).withColumnRenamed("state", "expected")
+    judged = EV._judge(labels, EV.K.best_state_by_frame(run.analyses, "bus"))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
