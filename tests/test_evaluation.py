@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.classes import object_family
 from trackloom.operators.scoring import match_within
 from trackloom.plans import evaluation as EV
+from workload import QUERIES
 from workload.scenes import scored_run
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,14 @@ def test_many_keys_are_handed_over_together(spark):
     assert sorted(got) == sorted((repr(k), "a", 0, 7, 1) for k in keys)
 
 
+def test_signal_accuracy_needs_no_matching(spark, monkeypatch):
+    def refuse(*args, **named):
+        raise AssertionError("transitions are matched for the accuracy of frames")
+
+    monkeypatch.setattr(EV.K, "match_within", refuse)
+    assert QUERIES["k_signal_accuracy"](spark, SF).count() > 0
+
+
 def test_tables_of_frames_are_not_broadcast(spark):
     """Files of a written table are a small part of what its rows take in memory."""
     _, run, truth = scored_run(spark, SF)
