@@ -1,11 +1,15 @@
 import math
 import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import lm
+from trackloom.llm.common import expand, unpack
 
 
 def held_out(doc):
@@ -116,3 +120,77 @@ def test_looked_up_finds_what_a_search_of_each_key_finds():
     values, wanted = rng.random(len(keys)), rng.choice(keys, 4000)
     assert (lm.looked_up(keys, values, wanted) == values[np.searchsorted(keys, wanted)]).all()
     assert lm.looked_up(keys, values, keys[:1]).tolist() == values[:1].tolist()
+
+
+def random_words(n, seed=4):
+    """Texts of about 1,000 bytes whose words and windows hardly ever repeat, a seventh of them held out."""
+    rng = np.random.default_rng(seed)
+    for a in range(0, n, 50):
+        ids = [str(i) for i in range(a, min(a + 50, n))]
+        texts = [" ".join(rng.integers(0, 1 << 62, 50).astype(str)) + " the end" for _ in ids]
+        yield pa.record_batch({"id": ids, "held": [held_out(i) for i in ids], "body": texts})
+
+
+def test_lists_of_blocks_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE_BYTES", 20_000)
+    rows = [r for b in lm.block_rows(random_words(300), 5, 1 << 30, 30_000, 7) for r in b.to_pylist()]
+    found = [r for r in rows if r["windows"] is not None]
+    windows, tokens, texts = Counter(), Counter(), []
+    for r in found:
+        win, n = np.cumsum(np.frombuffer(expand(r["windows"]), np.int64)), np.frombuffer(expand(r["n_train"]), np.int64)
+        of = np.frombuffer(expand(r["token_train"]), np.int64)
+        names = lm.split_lines(expand(r["tokens"]), len(of)).to_pylist()
+        assert (np.diff(win) > 0).all() and len({*names}) == len(names) and len(win) + len(of) < 60_000
+        windows.update(dict(zip(win.tolist(), n.tolist(), strict=True)))
+        tokens.update(dict(zip(names, of.tolist(), strict=True)))
+    for r in rows:
+        if r["payload"] is not None:
+            texts += unpack(r["payload"])
+    given = [(i, h, lm.lower(t)) for b in random_words(300) for i, h, t in zip(*b.to_pydict().values(), strict=True)]
+    assert len(found) > 5 and {r["block"] for r in rows} == {*range(7, 7 + len(found))}
+    assert texts == [(f"+{i}|{int(h)}", t) for i, h, t in given]
+    train = [t for _, h, t in given if not h]
+    words, want = Counter(w for t in train for w in t.split()), Counter(lm.text_windows(train, 5)[0].tolist())
+    assert +tokens == words and +windows == want and sum(r["n_texts"] for r in found) == len(train)
+    assert {*tokens} == {w for _, _, t in given for w in t.split()} and {*windows} == {*lm.text_windows([t for *_, t in given], 5)[0].tolist()}
+
+
+def test_memory_of_a_task_does_not_grow_with_its_texts(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE_BYTES", 50_000)
+
+    def most(n):
+        tracemalloc.start()
+        for _ in lm.block_rows(random_words(n), 5, 1 << 30, 200_000, 0):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    most(100)
+    assert most(2400) < 1.3 * most(600)
+
+
+def test_added_tokens_and_lines():
+    have, new = pa.array([b"a", b"bb"], pa.binary()), pa.array([b"bb", b"c"], pa.binary())
+    tokens, n = lm.added_tokens(have, np.array([1, 2]), new, np.array([5, 7]))
+    assert dict(zip(tokens.to_pylist(), n.tolist(), strict=True)) == {b"a": 1, b"bb": 7, b"c": 7}
+    assert lm.split_lines(lm.joined(tokens), 3).equals(tokens)
+    nothing = pa.array([], pa.binary())
+    assert lm.split_lines(lm.joined(nothing), 0).equals(nothing)
+
+
+@pytest.mark.parametrize("set_to", [None, "300", "5000"])
+def test_texts_go_to_python_in_small_batches(spark, set_to):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    if set_to:
+        spark.conf.set(name, set_to)
+    else:
+        spark.conf.unset(name)
+    sizes = spark.range(0, 4000, 1, 1).mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long")
+    try:
+        with lm.small_batches(spark):
+            assert max(r["n"] for r in sizes.collect()) == min(int(set_to or 1000), 1000)
+        assert spark.conf.get(name, None) == set_to
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

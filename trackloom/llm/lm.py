@@ -12,7 +12,9 @@ its distinct tokens. Counts are summed over blocks; the tree is computed from th
 alone, apart for each pair of last context bytes, below a top of at most 256 x 255 nodes that is
 gathered to finish the mixture; each block then gets back the log-probabilities of its own windows
 and the counts of its own tokens. So nothing of the size of the corpus meets in one place, and a
-window or token that fills a third of the corpus has at most one row per block.
+window or token that fills a third of the corpus has at most one row per block. A block ends with its
+text or its lists, whichever is full first, and tokens stay in Arrow arrays: what a task holds has a
+bound, whatever the texts.
 
 Edge cases: null text is empty text, which has the end token and the end byte only; repeated rows
 give repeated results; with no training row at all every estimate is one half; an empty table gives
@@ -22,8 +24,8 @@ an empty result; only the named columns are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -31,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import expand, pack, pieces, remainder, squeeze, unpack, written
@@ -39,9 +41,11 @@ from trackloom.llm.common import expand, pack, pieces, remainder, squeeze, unpac
 DEPTH = 5
 END = 0xFF
 BLOCK_BYTES = 64 << 20
+BLOCK_ITEMS = 2_000_000
+BATCH_ROWS = 1000
 PIECE_BYTES = 4 << 20
 SCALE = 1 << 24
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 TOP = 2
 NODE_BITS = 8
 
@@ -65,6 +69,12 @@ def text_windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     return window[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+def release() -> None:
+    """Give freed memory back to the system, Arrow's and (by its pool of that name) that of malloc: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about PART_BYTES bytes."""
     first = total = 0
@@ -77,26 +87,65 @@ def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
+def added(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts; ``new`` has some more of them, in order as well."""
+    at = np.searchsorted(keys, new)
+    old = at < len(keys)
+    old[old] = keys[at[old]] == new[old]
+    sums = counts.copy()
+    sums[at[old]] += n[old]
+    return np.insert(keys, at[~old], new[~old]), np.insert(sums, at[~old], n[~old])
 
 
 def window_counts(texts: list[bytes], train: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows of some texts and how often each occurs in the training ones among them."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for a, b in parts(texts):
         for kind in (True, False):
             own = [t for t, x in zip(texts[a:b], train[a:b], strict=True) if x == kind]
             if own:
                 u, n = np.unique(text_windows(own, depth)[0], return_counts=True)
-                keys.append(u)
-                counts.append(n if kind else np.zeros_like(n))
-    return merged(keys, counts)
+                keys, counts = added(keys, counts, u, n if kind else np.zeros_like(n))
+    return keys, counts
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.ChunkedArray, list[int]]:
+    """The tokens of some texts in order, and how many each text has."""
+    chunks, sizes = [], []
+    for a, b in parts(texts):
+        words = [t.split() for t in texts[a:b]]
+        sizes += map(len, words)
+        chunks.append(pa.array(chain.from_iterable(words), pa.binary()))
+    return pa.chunked_array(chunks, pa.binary()), sizes
+
+
+def token_counts(texts: list[bytes], train: list[bool]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct tokens of some texts and how often each occurs in the training ones among them."""
+    words, sizes = split_words(texts)
+    found = words.combine_chunks().dictionary_encode()
+    n = np.bincount(found.indices.to_numpy(), np.repeat(train, sizes), len(found.dictionary))
+    return found.dictionary, n.astype(np.int64)
+
+
+def added_tokens(tokens: pa.Array, counts: np.ndarray, new: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct tokens with the sums of their counts; ``new`` has some more of them."""
+    at = pc.index_in(new, value_set=tokens).fill_null(-1).to_numpy()
+    sums = counts.copy()
+    sums[at[at >= 0]] += n[at >= 0]
+    return pa.concat_arrays([tokens, new.filter(pa.array(at < 0))]), np.concatenate([sums, n[at < 0]])
+
+
+def joined(tokens: pa.Array) -> bytes:
+    """The tokens, none of which holds a line feed, as lines."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens), b"\n")[0].as_py()
+
+
+def split_lines(lines: bytes, n: int) -> pa.Array:
+    """``n`` tokens that were ``joined``."""
+    data = np.frombuffer(lines, np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))[:n]
+    offsets = np.concatenate([[0], ends - np.arange(n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -196,36 +245,63 @@ def top_of(rows: pd.DataFrame, top: int) -> dict[int, tuple[float, float]]:
     return dict(zip(out[0]["keys"].tolist(), zip(gathered.tolist(), left.tolist(), strict=True), strict=True))
 
 
-def packed_blocks(documents: DataFrame, doc_id: str, text: str, depth: int, block_bytes: int) -> DataFrame:
+def packed_blocks(documents: DataFrame, doc_id: str, text: str, depth: int, block_bytes: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Blocks of texts, written to the shared folder: rows with a packed piece of texts (ids, flags,
     texts), and one row with the lists of the block's distinct windows and tokens and their counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total, n_texts = TaskContext.get().partitionId() << 24, 0, 0
-        windows, counts, known, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter(), set()
-        for rows in pieces(batches, ("id", "held", "body"), min(PIECE_BYTES, block_bytes)):
-            texts, train = [lower(r[2]) for r in rows], [not r[1] for r in rows]
-            windows, counts = merged(*zip((windows, counts), window_counts(texts, train, depth), strict=True))
-            for t, x in zip(texts, train, strict=True):
-                if x:
-                    known.update(t.split())
-                else:
-                    seen.update(t.split())
-            n_texts += sum(train)
-            total += sum(map(len, texts))
-            yield one_row(block, payload=pack([(f"{'' if r[0] is None else '+' + str(r[0])}|{int(r[1])}", t) for r, t in zip(rows, texts, strict=True)]))
-            if total >= block_bytes:
-                yield lists(block, windows, counts, known, seen, n_texts)
-                block, total, n_texts = block + 1, 0, 0
-                windows, counts, known, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter(), set()
-        if total or n_texts or len(windows):
-            yield lists(block, windows, counts, known, seen, n_texts)
+        yield from block_rows(batches, depth, block_bytes, block_items, TaskContext.get().partitionId() << 24)
 
     rows = documents.select(
         F.col(doc_id).cast("string").alias("id"), (remainder(doc_id, 7) == 2).alias("held"), F.col(text).cast("string").alias("body")
     )
-    return written(rows.mapInArrow(run, BLOCKS), "blocks")
+    with small_batches(documents.sparkSession):
+        return written(rows.mapInArrow(run, BLOCKS), "blocks")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python ``BATCH_ROWS`` at a time at most: a batch is held by Spark and by its worker, in buffers that double."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    # Not above zero means no limit.
+    if before is None or not 0 < int(before) < BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], depth: int, block_bytes: int, block_items: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one task's blocks, numbered from ``block``. A block is full with ``block_bytes`` of
+    text or with lists of ``block_items``, to the next piece.
+    """
+    no_windows, no_tokens = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (pa.array([], pa.binary()), np.zeros(0, np.int64))
+    windows, tokens, total, n_texts = no_windows, no_tokens, 0, 0
+    for rows in pieces(batches, ("id", "held", "body"), min(PIECE_BYTES, block_bytes)):
+        texts, train = [lower(r[2]) for r in rows], [not r[1] for r in rows]
+        names = [f"{'' if r[0] is None else '+' + str(r[0])}|{int(r[1])}" for r in rows]
+        rows.clear()
+        yield one_row(block, payload=pack(list(zip(names, texts, strict=True))))
+        windows = added(*windows, *window_counts(texts, train, depth))
+        release()
+        tokens = added_tokens(*tokens, *token_counts(texts, train))
+        n_texts += sum(train)
+        total += sum(map(len, texts))
+        if total >= block_bytes or len(windows[0]) + len(tokens[0]) >= block_items:
+            yield lists(block, *windows, *tokens, n_texts)
+            windows, tokens, total, n_texts, block = no_windows, no_tokens, 0, 0, block + 1
+        del texts
+        release()
+    if len(windows[0]):
+        yield lists(block, *windows, *tokens, n_texts)
+    del windows, tokens
+    release()
 
 
 BLOCKS = "block bigint, payload binary, windows binary, n_train binary, tokens binary, token_train binary, n_texts bigint"
@@ -237,15 +313,14 @@ def one_row(block: int, n_texts: int | None = None, **values: bytes) -> pa.Recor
     return pa.RecordBatch.from_arrays(columns, names=["block", *names, "n_texts"])
 
 
-def lists(block: int, windows: np.ndarray, counts: np.ndarray, known: Counter, seen: set, n_texts: int) -> pa.RecordBatch:
-    tokens = [*known, *(seen - known.keys())]
+def lists(block: int, windows: np.ndarray, counts: np.ndarray, tokens: pa.Array, token_counts: np.ndarray, n_texts: int) -> pa.RecordBatch:
     return one_row(
         block,
         n_texts,
         windows=squeeze(np.diff(windows, prepend=0).tobytes()),
         n_train=squeeze(counts.tobytes()),
-        tokens=squeeze(b"\n".join(tokens)),
-        token_train=squeeze(np.array([known[t] for t in tokens], np.int64).tobytes()),
+        tokens=squeeze(joined(tokens)),
+        token_train=squeeze(token_counts.tobytes()),
     )
 
 
@@ -268,7 +343,7 @@ def token_rows(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for block, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.frombuffer(expand(counts), np.int64)
-                yield from _listed(block, "token", pa.array(expand(tokens).split(b"\n")[: len(n)], pa.binary()), n)
+                yield from _listed(block, "token", split_lines(expand(tokens), len(n)), n)
 
     return blocks.where("tokens IS NOT NULL").select("block", "tokens", "token_train").mapInArrow(run, "block bigint, place int, token binary, n bigint")
 
@@ -313,6 +388,57 @@ def log_probabilities(windows: DataFrame, depth: int) -> DataFrame:
     return rows.groupBy("pair").applyInPandas(values, "win bigint, value double")
 
 
+def block_scores(left: pa.Table, right: pa.Table, depth: int, ends: int) -> pa.Table:
+    """Results of a block's texts from its rows and what came back for its windows and tokens."""
+    place, value = right.column("place").to_numpy(), right.column("value").to_numpy()
+    n_tokens = np.count_nonzero(place < 0)
+    back = np.empty(len(place), np.int64)
+    back[place + n_tokens] = value
+    gain, told = back[n_tokens:] / SCALE, back[:n_tokens][::-1]
+    new, count = int((told & 1).sum()), told >> 1
+    part_of, learned = np.log10(count + 1), count > 0
+    del place, value, back, told, count
+    rows = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
+    held_lists = left.filter(pc.is_valid(left.column("windows")))
+    win = np.cumsum(np.frombuffer(expand(held_lists.column("windows")[0].as_py()), np.int64))
+    tokens = split_lines(expand(held_lists.column("tokens")[0].as_py()), n_tokens)
+    for payload in left.column("payload"):
+        if not payload.is_valid:
+            continue
+        items = unpack(payload.as_py())
+        texts = [t for _, t in items]
+        totals = []
+        for a, b in parts(texts):
+            found, starts = text_windows(texts[a:b], depth)
+            totals += np.add.reduceat(looked_up(win, gain, found), starts).tolist()
+        del found, starts
+        release()
+        words, sizes = split_words(texts)
+        own = pc.index_in(words, value_set=tokens).to_numpy()
+        edges = np.cumsum([0, *sizes])
+        met, logs = np.concatenate([[0], np.cumsum(learned[own])])[edges].tolist(), part_of[own]
+        edges = edges.tolist()
+        for i, ((name, t), total) in enumerate(zip(items, totals, strict=True)):
+            named, held = name.rsplit("|", 1)
+            rows["doc_id"].append(named[1:] if named else None)
+            rows["held_out"].append(held == "1")
+            rows["n_tokens"].append(edges[i + 1] - edges[i] + 1)
+            rows["n_known"].append(met[i + 1] - met[i] + (ends > 0))
+            rows["logs"].append(math.fsum(logs[edges[i] : edges[i + 1]].tolist()) + math.log10(ends + 1))
+            rows["score"].append(total)
+            rows["bits_per_byte"].append(-total / math.log10(2) / (len(t) + 1))
+        del items, texts, words, own, logs, met
+        release()
+    del gain, part_of, learned, win, tokens
+    release()
+    n = len(rows["doc_id"])
+    # What the block adds to the number of learned tokens and types, on its first row.
+    rows["types"] = [new] * min(n, 1) + [0] * max(n - 1, 0)
+    return pa.table(
+        {k: pa.array(v, {"doc_id": pa.string(), "held_out": pa.bool_()}.get(k, pa.float64() if k in ("logs", "score", "bits_per_byte") else pa.int64())) for k, v in rows.items()}
+    )
+
+
 def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, token counts, base_score, score and bits_per_byte."""
     kind = dict(documents.dtypes)[doc_id]
@@ -336,44 +462,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
     ends = blocks.agg(F.sum("n_texts")).first()[0] or 0
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        place, value = right.column("place").to_numpy(), right.column("value").to_numpy()
-        order = np.argsort(place, kind="stable")
-        place, value = place[order], value[order]
-        n_tokens = int(np.searchsorted(place, 0))
-        gain, told = value[n_tokens:] / SCALE, value[:n_tokens][::-1]
-        count = told >> 1
-        part_of, learned = np.log10(count + 1), (count > 0).astype(np.int64)
-        rows = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte")}
-        held_lists = left.filter(pc.is_valid(left.column("windows")))
-        (windows,), (tokens,) = (held_lists.column(c).to_pylist() for c in ("windows", "tokens"))
-        win = np.cumsum(np.frombuffer(expand(windows), np.int64))
-        at = {t: i for i, t in enumerate(expand(tokens).split(b"\n")[: len(count)])}
-        for payload in left.filter(pc.is_valid(left.column("payload"))).column("payload").to_pylist():
-            items = unpack(payload)
-            texts = [t for _, t in items]
-            for a, b in parts(texts):
-                found, starts = text_windows(texts[a:b], depth)
-                sums = np.add.reduceat(looked_up(win, gain, found), starts)
-                words = [t.split() for t in texts[a:b]]
-                edges = np.cumsum([0, *map(len, words)])
-                own = np.fromiter(map(at.__getitem__, chain.from_iterable(words)), np.int64, edges[-1])
-                met, logs = np.concatenate([[0], np.cumsum(learned[own])])[edges].tolist(), part_of[own]
-                edges = edges.tolist()
-                for i, ((name, t), total) in enumerate(zip(items[a:b], sums.tolist(), strict=True)):
-                    named, held = name.rsplit("|", 1)
-                    rows["doc_id"].append(named[1:] if named else None)
-                    rows["held_out"].append(held == "1")
-                    rows["n_tokens"].append(edges[i + 1] - edges[i] + 1)
-                    rows["n_known"].append(met[i + 1] - met[i] + (ends > 0))
-                    rows["logs"].append(math.fsum(logs[edges[i] : edges[i + 1]].tolist()) + math.log10(ends + 1))
-                    rows["score"].append(total)
-                    rows["bits_per_byte"].append(-total / math.log10(2) / (len(t) + 1))
-        n = len(rows["doc_id"])
-        # What the block adds to the number of learned tokens and types, on its first row.
-        rows["types"] = [int((told & 1).sum())] * min(n, 1) + [0] * max(n - 1, 0)
-        return pa.table(
-            {k: pa.array(v, {"doc_id": pa.string(), "held_out": pa.bool_()}.get(k, pa.float64() if k in ("logs", "score", "bits_per_byte") else pa.int64())) for k, v in rows.items()}
-        )
+        return block_scores(left, right, depth, ends)
 
     scored = written(
         blocks.select("block", "payload", "windows", "tokens")
