@@ -1,3 +1,4 @@
+import json
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -64,3 +65,92 @@ def test_tables_of_frames_are_not_broadcast(spark):
     judged = EV._judge(labels, EV.K.best_state_by_frame(run.analyses, "bus"))
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def _details(videos, run, truth, tolerance):
+    rows = EV.signal_transition_metrics(videos, run, truth, tolerance).collect()
+    return {r.source_id: (r.transition_delay_details, r) for r in rows}
+
+
+def test_matched_transitions_are_listed(spark):
+    """Each with its frames, delay and states, nearest pairs first; a reason where there is none."""
+    videos = spark.createDataFrame([(1, 25.0), (2, None), (3, 25.0), (4, 25.0), (5, 0.0)], "source_id long, fps double")
+    signals = [(s, 0, "traffic light") for s in range(1, 6)] + [(4, 1, "signal")]
+    changes = [
+        *[(1, 0, 0, 10, "red", "green", False), (1, 0, 1, 20, "GREEN", "RED", None), (1, 0, 2, 30, "RED", None, False)],
+        *[(1, 0, 3, 50, "RED", "GREEN", True), (1, 0, 4, None, "RED", "GREEN", False)],
+        *[(2, 0, 0, 10, "RED", "GREEN", False), (2, 0, 1, 10, "RED", "GREEN", False)],
+        *[(3, 0, 0, 10, "RED", "GREEN", False), (4, 0, 0, 10, "RED", "GREEN", False), (5, 0, 0, 10, "RED", "GREEN", False)],
+    ]
+    told = [
+        *[(1, 13, 0, "RED", " Green"), (1, 19, 0, "green", "red"), (1, 30, 0, "RED", ""), (1, 50, 0, "RED", "GREEN")],
+        *[(2, 12, 1, "RED", "GREEN"), (2, 12, 0, "RED", "GREEN"), (3, 14, 0, "RED", "GREEN")],
+        *[(4, 10, 0, "RED", "GREEN"), (5, 9, 0, "RED", "GREEN")],
+    ]
+    events = spark.createDataFrame(told, "source_id long, frame_index long, pos int, previous_state string, current_state string")
+    run = EV.Run(
+        frames=None,
+        detections=None,
+        analyses=spark.createDataFrame([], "source_id long, frame_index long, signal_type string, signal_type_is_uncertain boolean"),
+        events=events.withColumns({"event_type": F.lit("object_state_changed"), "object_type": F.lit("Signal"), "stable_id": F.lit("a")}),
+        narrations=spark.createDataFrame([], "source_id long, frame_index long, pos int, message string"),
+    )
+    truth = EV.Truth(
+        objects=spark.createDataFrame(signals, "source_id long, object_pos int, object_type string"),
+        visible=spark.createDataFrame([(s, o, 0, 99) for s, o, _ in signals], "source_id long, object_pos int, start_frame long, end_frame long"),
+        transitions=spark.createDataFrame(
+            changes, "source_id long, object_pos int, transition_pos int, frame long, from_state string, to_state string, ambiguous boolean"
+        ),
+        **dict.fromkeys(("states", "motions", "stages", "texts")),
+    )
+
+    def pair(expected, predicted, ms, previous="RED", current="GREEN"):
+        frames = {"ground_truth_frame": expected, "predicted_frame": predicted, "delay_frames": predicted - expected}
+        return {**frames, "delay_ms": ms, "previous_state": previous, "current_state": current}
+
+    got = _details(videos, run, truth, 3)
+    listed = {s: json.loads(d.value_json) for s, (d, _) in got.items() if d.value_json}
+    assert listed == {
+        1: [pair(30, 30, 0.0, "RED", "UNKNOWN"), pair(20, 19, -40.0, "GREEN", "RED"), pair(10, 13, 120.0)],
+        2: [pair(10, 12, None), pair(10, 12, None)],
+        5: [pair(10, 9, None)],
+    }
+    assert {s: d.reason for s, (d, _) in got.items() if d.reason} == {
+        3: "no_matched_signal_transitions",
+        4: "multiple_objects_require_prediction_association",
+    }
+    assert {s: (r.transition_delay_frames.value, r.transition_delay_ms.value) for s, (_, r) in got.items()} == {
+        1: (0.666667, 26.666667),
+        2: (2.0, None),
+        3: (None, None),
+        4: (None, None),
+        5: (-1.0, None),
+    }
+
+
+def test_listed_transitions_are_those_taken_by_distance(spark):
+    videos, run, truth = scored_run(spark, SF)
+    signals = {(r.source_id, r.object_pos) for r in truth.objects.collect() if r.object_type in ("traffic light", "pedestrian signal")}
+    expected, predicted = {}, {}
+    for r in truth.transitions.orderBy("object_pos", "transition_pos").collect():
+        if (r.source_id, r.object_pos) in signals and not r.ambiguous:
+            expected.setdefault(r.source_id, []).append((r.frame, r.from_state, r.to_state))
+    for r in run.events.orderBy("frame_index", "pos").collect():
+        if r.event_type == "OBJECT_STATE_CHANGED" and r.object_type in ("traffic light", "pedestrian signal"):
+            predicted.setdefault(r.source_id, []).append((r.frame_index, r.previous_state, r.current_state))
+    want = {}
+    for s, own in expected.items():
+        near = [
+            (abs(e[0] - p[0]), i, j) for i, e in enumerate(own) for j, p in enumerate(predicted.get(s, ())) if e[1:] == p[1:] and abs(e[0] - p[0]) <= 3
+        ]
+        used_e, used_p = set(), set()
+        for _, i, j in sorted(near):
+            if i not in used_e and j not in used_p:
+                used_e.add(i)
+                used_p.add(j)
+                want.setdefault(s, []).append((own[i][0], predicted[s][j][0], *own[i][1:]))
+    got = _details(videos, run, truth, 3)
+    names = ("ground_truth_frame", "predicted_frame", "previous_state", "current_state")
+    listed = {s: [tuple(d[n] for n in names) for d in json.loads(m.value_json)] for s, (m, _) in got.items() if m.value_json}
+    assert listed and listed == {s: want[s] for s in want if "multiple" not in (got[s][0].reason or "")}
+    assert all(got[s][0].value == len(own) for s, own in listed.items())
