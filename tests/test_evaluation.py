@@ -154,3 +154,29 @@ def test_listed_transitions_are_those_taken_by_distance(spark):
     listed = {s: [tuple(d[n] for n in names) for d in json.loads(m.value_json)] for s, (m, _) in got.items() if m.value_json}
     assert listed and listed == {s: want[s] for s in want if "multiple" not in (got[s][0].reason or "")}
     assert all(got[s][0].value == len(own) for s, own in listed.items())
+
+
+def test_messages_are_listed(spark):
+    """All that are not blank, in their order; an empty list where nothing was said."""
+    said = [(1, 10, 0, "c"), (1, 9, 1, 'b "q"'), (1, 9, 0, " a "), (1, 11, 0, " "), (1, 12, 0, "c"), (2, 0, 0, "")]
+    run = EV.Run(
+        frames=spark.createDataFrame([(1, 1.0)], "source_id long, inference_ms double"),
+        detections=spark.createDataFrame([], "source_id long, frame_index long"),
+        analyses=spark.createDataFrame([], "source_id long, is_uncertain boolean, state string, object_type string, analyzer_name string"),
+        events=spark.createDataFrame(
+            [],
+            "source_id long, event_type string, object_type string, stable_id string, previous_state string,"
+            " current_state string, route_number string, text string, screen_fingerprint string",
+        ),
+        narrations=spark.createDataFrame(said, "source_id long, frame_index long, pos int, message string"),
+    )
+    videos = spark.createDataFrame(
+        [(s, None, None, None, None) for s in (1, 2, 3)],
+        "source_id long, elapsed_s double, effective_fps double, realtime_factor double, average_inference_ms double",
+    )
+    got = {r.source_id: r.generated_narrations for r in EV.performance_metrics(videos, run).collect()}
+    assert {s: (m.value, json.loads(m.value_json), m.reason) for s, m in got.items()} == {
+        1: (4.0, [" a ", 'b "q"', "c", "c"], None),
+        2: (0.0, [], None),
+        3: (0.0, [], None),
+    }
